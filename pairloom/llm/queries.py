@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +27,54 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{ok}'), (-1L, 1L, 'assistant', '{ok}') AS t(conv_id, turn, role, text)")
+    return chat.read_back(chat.windows(rows.union(more)))
+
+
+_TURN = "7 + length(replace(replace(replace(replace({0}, '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3')) + length(replace(replace(replace(replace({1}, '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3')) + 2"
+SQL["op10_chat"] = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), a AS (
+  SELECT *, len(string_split_regex(text, '[\x20\x09-\x0D]+')) + 4 AS tokens, row_number() OVER w AS place
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), b AS (
+  SELECT *, {_TURN.format("role", "text")} AS chars, sum((tokens > 512)::int) OVER w AS longs, floor((sum(tokens) OVER w - 1) / 512) AS half
+  FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), c AS (
+  SELECT *, coalesce((lag(longs) OVER w, lag(tokens > 512) OVER w, lag(half) OVER w) <> (longs, tokens > 512, half), true) AS first,
+    min(CASE WHEN role = 'system' THEN place END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys,
+    lag(tokens) OVER w AS t1, lag(tokens, 2) OVER w AS t2, lag(chars) OVER w AS c1, lag(chars, 2) OVER w AS c2
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), d AS (
+  SELECT c.*, coalesce(s.chars, 0) AS c0, coalesce(t1 <= 128 AND place - 1 <> coalesce(sys, 0), false) AS fits1,
+    coalesce(t1 + t2 <= 128 AND place - 2 <> coalesce(sys, 0), false) AS fits2
+  FROM c LEFT JOIN (SELECT conv_id AS conv, place AS at, chars FROM b) s ON s.conv = c.conv_id AND s.at = c.sys
+)
+SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE WHEN first THEN c0 + CASE WHEN fits1 THEN c1 ELSE 0 END + CASE WHEN fits1 AND fits2 THEN c2 ELSE 0 END ELSE 0 END)::bigint AS formatted_chars
+FROM d GROUP BY conv_id
+"""

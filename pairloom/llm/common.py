@@ -9,6 +9,7 @@ from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.util import PythonEvalType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,3 +82,9 @@ def components(edges: DataFrame) -> DataFrame:
         return found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
     return reduce(follow, hooks[1:], hooks[0].select("node", F.col("to").alias("root")))
+
+
+def arrow_column(df: DataFrame, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:
+    """A column function over Arrow arrays, for functions that live in this package; other columns do not pass through Python."""
+    _ship(df)
+    return F.arrow_udf(run, kind, PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)

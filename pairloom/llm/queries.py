@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding, simhash
+from . import chat, decontam, langid, line_dedup, packing, quality, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,99 @@ SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) |
   sum(chars + CASE WHEN first THEN c0 + CASE WHEN fits1 THEN c1 ELSE 0 END + CASE WHEN fits1 AND fits2 THEN c2 ELSE 0 END ELSE 0 END)::bigint AS formatted_chars
 FROM d GROUP BY conv_id
 """
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without the later ones of repeated runs, removed (start:end of the deleted runs, lines from 0, end exclusive)."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    runs = F.transform("removed_runs", lambda r: F.concat_ws(":", r["start"], r["end"] + 1))
+    return found.select("doc_id", "text", F.coalesce(F.array_join(runs, ","), F.lit("")).alias("removed"))
+
+
+SQL["op1_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents
+), words AS (
+  SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS n FROM lines
+), own AS (
+  SELECT doc_id, k, line, sum(n) OVER w - n AS low, sum(n) OVER w AS high FROM words WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), ends AS (
+  SELECT a.doc_id, a.k AS s, b.k AS e FROM own a JOIN own b ON a.doc_id = b.doc_id AND b.low < a.low + 30 AND b.high >= a.low + 30
+), windows AS (
+  SELECT w.doc_id, s, e, string_agg(line, chr(10) ORDER BY k) AS content FROM ends w JOIN own o ON o.doc_id = w.doc_id AND o.k BETWEEN s AND e GROUP BY w.doc_id, s, e
+), later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS nth FROM windows) WHERE nth > 1
+), gone AS (
+  SELECT w.*, last_value(w.n > 0 AND l.doc_id IS NOT NULL) OVER (PARTITION BY w.doc_id, w.solid ORDER BY w.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_gone,
+    max(w.n > 0 AND l.doc_id IS NOT NULL) OVER (PARTITION BY w.doc_id, w.solid) AS dead
+  FROM (SELECT *, sum((n > 0)::int) OVER (PARTITION BY doc_id ORDER BY k) AS solid FROM words) w
+  LEFT JOIN (SELECT DISTINCT o.doc_id, o.k FROM own o JOIN later l ON l.doc_id = o.doc_id AND o.k BETWEEN l.s AND l.e) l ON l.doc_id = w.doc_id AND l.k = w.k
+), islands AS (
+  SELECT doc_id, min(k) AS a, max(k) + 1 AS b FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM gone WHERE dead) GROUP BY doc_id, g
+)
+SELECT d.doc_id, CASE WHEN i.doc_id IS NULL THEN d.text ELSE coalesce(t.text, '') END AS text, coalesce(i.removed, '') AS removed
+FROM documents d
+LEFT JOIN (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed FROM islands GROUP BY doc_id) i ON i.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(raw, chr(10) ORDER BY k) AS text FROM gone WHERE NOT dead GROUP BY doc_id) t ON t.doc_id = d.doc_id
+"""
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, agree, length, item_start, doc_start of every leak."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.where(~langid.held_out()))
+    return langid.identify(documents, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op6_quality"] = """
+WITH texts AS (
+  SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), grams AS (
+  SELECT doc_id, k, array_to_string(words[k:k + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM texts WHERE len(words) >= 5)
+), twice AS (
+  SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS place FROM twice) GROUP BY doc_id
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT t.doc_id, t.source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN repeated r USING (doc_id) LEFT JOIN dup d USING (doc_id)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY source
+), moments AS (
+  SELECT least(greatest(avg(failed / n), 1e-6), 1 - 1e-6) AS m, coalesce(var_samp(failed / n), 0) AS v, avg(1 / n) AS i, avg(n) AS size FROM hosts
+), prior AS (
+  SELECT m, CASE WHEN v - m * (1 - m) * i > 0 AND m * (1 - m) / (v - m * (1 - m) * i) - 1 > 0 THEN m * (1 - m) / (v - m * (1 - m) * i) - 1 ELSE size END AS w FROM moments
+)
+SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
+  n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND (failed + m * w) / (hosts.n + w) <= 0.5 AS kept
+FROM f JOIN hosts ON hosts.source IS NOT DISTINCT FROM f.source CROSS JOIN prior
+"""
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda secrets: F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = listed(F.filter("secrets", lambda s: s["kind"] != "guess"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed("secrets").alias("spans"))

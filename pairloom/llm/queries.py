@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, packing, quality, secret_scan, sharding, simhash
+from . import chat, decontam, html_extract, langid, line_dedup, packing, quality, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,3 +174,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda secrets: F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = listed(F.filter("secrets", lambda s: s["kind"] != "guess"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed("secrets").alias("spans"))
+
+
+@query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))

@@ -25,8 +25,8 @@ MASKS = ("1110011", "11010101", "110010011")
 MIN_TOKENS, MIN_SHARE = 10, 0.75
 #: Tokens of a block of a document, and of the context kept on both sides of it: an alignment is followed so far.
 BLOCK, CONTEXT = 128, 256
-#: Bits of the bitmap: so many a benchmark hash, within these bounds.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+#: Bits of the bitmap: so many a benchmark hash, within these bounds; and the bits that each hash sets.
+BITS_EACH, LEAST_BITS, MOST_BITS, PLACES = 64, 1 << 16, 1 << 27, 4
 #: Points an agreeing and a differing token count in an extension.
 AGREE, DIFFER = 1, -3
 #: ASCII bytes that end a token: all but letters and digits.
@@ -93,35 +93,53 @@ def _item_tokens(benchmark: DataFrame) -> DataFrame:
     return arrow_map(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).distinct(), run, "item_id long, item binary")
 
 
+def _places(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k-th bit of each hash in a bitmap of so many bits, a power of two."""
+    return (hashes * _ODD[k]) >> np.uint64(64 - bits.bit_length() + 1)
+
+
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash; as many 64-bit words reach the driver as the bitmap has, MOST_BITS / 64 at most."""
+    """A Bloom filter of the hashes, as bytes; as many 64-bit words reach the driver as it has, MOST_BITS / 64 at most."""
     bits = LEAST_BITS
     wanted = BITS_EACH * hashes.count()
     while bits < min(wanted, MOST_BITS):
         bits *= 2
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    word = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
-    words = hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(word).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.unique(np.concatenate([_places(own, bits, k) for k in range(PLACES)]))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    words = arrow_map(hashes.select("hash"), run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(bits // 64, np.int64)
     for batch in words.toArrow().to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
+
+
+def likely(bitmap: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the Bloom filter may hold."""
+    at = np.arange(len(found))
+    for k in range(PLACES):
+        place = _places(found[at], 8 * len(bitmap), k)
+        at = at[(bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return at
 
 
 def _blocks(documents: DataFrame, known: np.ndarray) -> DataFrame:
     """For each block of a document with likely hits: its tokens with context, where they begin, and the hits (hash, place)."""
-    shared = documents.sparkSession.sparkContext.broadcast(known)  # MOST_BITS bytes at most
+    shared = documents.sparkSession.sparkContext.broadcast(known)  # MOST_BITS / 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
-        last = np.uint64(len(bitmap) - 1)
         for batch in batches:
             rows, begins, texts, hits = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 own = tokens(text or b"")
                 place, value = [], []
                 for found in seeds(own):
-                    at = np.flatnonzero(bitmap[found & last])
+                    at = likely(bitmap, found)
                     place.append(at)
                     value.append(found[at])
                 at, found = np.concatenate(place), np.concatenate(value)

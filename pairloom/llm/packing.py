@@ -31,8 +31,8 @@ def pieces(documents: DataFrame, tokenizer: str, most: int, end_id: int = 0) ->
         store, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(store.ids([t or b"" for t in batch.column(1).to_pylist()])):
-                ids += end
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                ids = store.ids(text or b"") + end
                 for n, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
                     row.append(k)

@@ -3,58 +3,58 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from array import array
 from functools import cache
 
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
 KEPT = 500_000
-#: Bytes of text taken at once, so that the words not yet known stay few.
-AT_ONCE = 1 << 21
 #: ASCII marks that form tokens of their own at the end of a word that ends in an ASCII letter or digit.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Byte-level BPE writes each byte as a character: those that print in Latin-1 as themselves, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = dict(zip(sorted(set(range(256)) - _PRINTED), range(256, 512)))
 
 
-class WordIds:
-    """Ids of texts, word by word: white space always ends a token, so a word's ids are looked up once and kept."""
+class WordIds(dict):
+    """UTF-8 word, lower-cased in ASCII, to its ids as little-endian unsigned 32-bit numbers.
+
+    White space always ends a token of this tokenizer, so a word's ids are found once and kept. It lower-cases and splits
+    letters from marks before its BPE: words of letters alone go to the BPE directly, others through the whole tokenizer.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        self.model = self.tokenizer.model
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Encode new words, those that differ in the marks at their ends but once."""
-        whole, parts = set(), {}
-        for word in new:
-            stem = word.rstrip(MARKS)
-            if len(stem) < len(word) and stem[-1:].isalnum():
-                parts[word] = stem, word[len(stem) :]
-                whole.update(parts[word])
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.kept:
+            self.clear()
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem[-1:].isalnum():
+            found = self[stem] + self[word[len(stem) :]]
+        elif word.isalpha():
+            found = self._bpe(word.decode())
+        else:
+            text = word.decode("utf-8", "replace")
+            plain = unicodedata.normalize("NFC", text).lower()
+            if plain.isalpha() and "Σ" not in text:  # a capital sigma is lower-cased by its place
+                found = self._bpe(plain.encode().decode("latin-1").translate(_WRITTEN))
             else:
-                whole.add(word)
-        need = [*whole.difference(self.known)]
-        for word, found in zip(need, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in need], add_special_tokens=False)):
-            self.known[word] = array("I", found.ids).tobytes()
-        for word, (stem, marks) in parts.items():
-            self.known[word] = self.known[stem] + self.known[marks]
+                found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
+
+    def _bpe(self, letters: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """For each UTF-8 text, its ids as little-endian unsigned 32-bit numbers."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
-                size += len(texts[end])
-                end += 1
-            words = [t.lower().split() for t in texts[at:end]]  # the tokenizer lower-cases too
-            if len(self.known) > self.kept:
-                self.known.clear()
-            self._learn(set().union(*words).difference(self.known))
-            out += [b"".join(map(self.known.__getitem__, w)) for w in words]
-            at = end
-        return out
+    def ids(self, text: bytes) -> bytes:
+        """The ids of a UTF-8 text."""
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 @cache

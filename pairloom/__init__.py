@@ -1,0 +1 @@
+"""Linking two versions of an item catalog with Spark."""

@@ -36,12 +36,13 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """languages in order; for words and n-grams the log frequencies by language."""
+    """languages in order; for words and n-grams their rows of log frequencies by language."""
 
     languages: list[str]
-    known: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
+    known: dict[str, int]
+    known_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
     _row: dict[str, int] = field(default_factory=dict)
     _scores: np.ndarray | None = None
 
@@ -50,17 +51,16 @@ class Model:
 
     def score(self, word: str) -> np.ndarray:
         """Log frequency of a word by language."""
-        if (found := self.known.get(word)) is not None:
-            return found
-        marked, rows = f"^{word}$", []
+        if (row := self.known.get(word)) is not None:
+            return self.known_logs[row]
+        marked, grams, rows, given_up = f"^{word}$", self.grams, [], 0
         for end in range(1, len(marked) + 1):
-            for length in range(min(LONGEST, end), 0, -1):
-                if (found := self.grams.get(marked[end - length : end])) is not None:
-                    rows.append(found + PENALTY * (LONGEST - length))
-                    break
-            else:
-                rows.append(self.floor)
-        return np.mean(rows, axis=0)
+            begin = end - LONGEST if end > LONGEST else 0
+            while (row := grams.get(marked[begin:end])) is None and begin < end:
+                begin += 1
+            given_up += LONGEST - end + begin
+            rows.append(-1 if row is None else row)  # the last row is that of characters never seen
+        return (self.gram_logs[rows].sum(0) + PENALTY * given_up) / len(rows)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and how sure: its share when the scores, damped by the root of the word count, are made to sum to 1."""
@@ -102,17 +102,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, documents: int = DOCUMENTS, most_words: int = WORDS, languages: int = LANGUAGES) -> Model:
     """A model of the labelled rows (doc_id, text, lang).
 
-    The bounds are parameters: of each of the most frequent languages, the documents with the least hashes of doc_id, in
-    whole, and their most frequent words; only those words and their counts reach the driver.
+    The bounds are parameters: of each of the most frequent languages, the documents whose hash of doc_id is below the
+    cut that leaves about so many, in whole, and their most frequent words; only those words and their counts reach the
+    driver. Without labelled rows the model knows no language.
     """
-    rows = labelled.select("doc_id", "lang").where("lang IS NOT NULL")
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    chosen = rows.where(F.col("lang").isin(names)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = chosen.where(F.col("rank") <= documents).select("doc_id", "lang").distinct()
-    texts = labelled.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    counts = labelled.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    names, chosen = [r["lang"] for r in counts], F.lit(False)
+    for r in counts:
+        share = min(1.0, documents / r["count"])
+        chosen |= (F.col("lang") == r["lang"]) & (F.xxhash64("doc_id") <= F.lit(max(-(1 << 63), min((1 << 63) - 1, int((share * 2 - 1) * (1 << 63))))))
+    texts = labelled.where(chosen).select("lang", "text")
     counts = arrow_map(texts, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= most_words)
-    names = sorted(names)
+    if not names:
+        return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
+    names.sort()
     place = {n: k for k, n in enumerate(names)}
     seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
     grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
@@ -124,18 +128,15 @@ def train(labelled: DataFrame, documents: int = DOCUMENTS, most_words: int = WOR
                 for at in range(len(marked) - length + 1):
                     grams[marked[at : at + length]][place[lang]] += n
 
-    def logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        total = sum(table.values(), np.zeros(len(names)))
-        return {k: np.log((v + 0.1) / (total + 0.1 * len(table))).astype(np.float32) for k, v in table.items()}
+    def logs(table: dict[str, np.ndarray]) -> np.ndarray:
+        counts = np.array([*table.values()]).reshape(-1, len(names))
+        return np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(table))).astype(np.float32)
 
     common = {w: v for w, v in seen.items() if v.sum() > 1}
-    by_length: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
-    for gram, v in grams.items():
-        if len(gram) == 1 or v.sum() > 1:
-            by_length[len(gram)][gram] = v
-    found = {g: v for table in by_length.values() for g, v in logs(table).items()}
-    floor = np.full(len(names), math.log(1e-6) + PENALTY * LONGEST)
-    return Model(names, logs(common), found, floor)
+    by_length = [{g: v for g, v in grams.items() if len(g) == n and (n == 1 or v.sum() > 1)} for n in range(1, LONGEST + 1)]
+    floor = np.full((1, len(names)), math.log(1e-6), np.float32)
+    rows = {g: k for k, g in enumerate(g for table in by_length for g in table)}
+    return Model(names, {w: k for k, w in enumerate(common)}, logs(common), rows, np.concatenate([*map(logs, by_length), floor]))
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

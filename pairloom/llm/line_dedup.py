@@ -77,7 +77,8 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     shared = windows.groupBy("fp").agg(F.sum(F.col("fresh").cast("int")).alias("n")).where("n > 1").select("fp")
     place = F.struct("doc_id", "version", "start")
     near = windows.join(shared, "fp", "left_semi")
-    first = near.groupBy("k0", "k1").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join has an exchange of its own, in which a window that most documents share can be split
+    first = materialize(near.groupBy("k0", "k1").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = near.join(first, ["k0", "k1"]).where(place > F.col("first")).select("doc_id", "version", "start", "end")
     in_text = Window.partitionBy("doc_id", "version").orderBy("start", "end")
     reach = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))

@@ -45,23 +45,23 @@ def callgraph_difference(pair: Pair) -> DataFrame:
     primes = lambda side, n: side.table("program").select(F.explode(F.from_json("callgraph_all_primes", "map<string, double>")).alias("prime", n))
     both = primes(pair.main, "a").join(primes(pair.diff, "b"), "prime", "full_outer").select(F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
     sums = both.agg(F.sum(F.greatest("a", "b") - F.least("a", "b")).alias("different"), F.sum("a").alias("total"))
-    return sums.withColumn("percent", F.col("different") * 100 / F.col("total"))
+    return sums.withColumn("percent", F.try_divide(F.col("different") * 100, F.col("total")))
 
 
 def _share(pair: Pair, key: str) -> DataFrame:
     pairs = pair.main.functions.select(key).join(pair.diff.functions.select(key), key).agg(F.count("*").alias("pairs"))
     total = pair.main.functions.agg(F.count("*").alias("total"))
-    return pairs.join(total, F.lit(True)).select("pairs", "total", (F.col("pairs") * 100.0 / F.col("total")).alias("percent"))
+    return pairs.join(total, F.lit(True)).select("pairs", "total", F.try_divide(F.col("pairs") * 100.0, F.col("total")).alias("percent"))
 
 
 def stripped_mode(pair: Pair) -> DataFrame:
     """pairs of equal addresses, total and percent; mode: whether they are so many that symbols alone were stripped."""
-    return _share(pair, "address").withColumn("mode", F.col("percent") >= STRIPPED_PERCENT)
+    return _share(pair, "address").withColumn("mode", F.coalesce(F.col("percent") >= STRIPPED_PERCENT, F.lit(False)))
 
 
 def patch_mode(pair: Pair) -> DataFrame:
     """The same for equal mangled names: whether the versions differ by a patch."""
-    return _share(pair, "mangled_function").withColumn("mode", F.col("percent") > PATCH_PERCENT)
+    return _share(pair, "mangled_function").withColumn("mode", F.coalesce(F.col("percent") > PATCH_PERCENT, F.lit(False)))
 
 
 # Passes

@@ -130,7 +130,7 @@ def test_port_rules(spark):
 def test_sqlite_and_parquet(spark, tmp_path):
     path = str(tmp_path / "a.sqlite")
     with sqlite3.connect(path) as c:
-        c.execute(f"CREATE TABLE functions ({', '.join(f.name + (' INTEGER' if f.dataType.simpleString() == 'bigint' else ' TEXT') for f in FUNCTIONS)})")
+        c.execute(f"CREATE TABLE functions ({', '.join(f.name + {'bigint': ' INTEGER', 'double': ' REAL'}.get(f.dataType.simpleString(), ' TEXT') for f in FUNCTIONS)})")
         given = catalog(spark, _functions(5))
         for r in given.functions.collect():
             c.execute(f"INSERT INTO functions VALUES ({', '.join('?' * len(FUNCTIONS))})", tuple(r))

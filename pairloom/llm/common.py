@@ -1,58 +1,19 @@
-"""What the corpus operators share: durable cuts of lineage and connected components."""
+"""What the corpus operators share: connected components, and the library's durable cuts of lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from collections.abc import Callable, Iterator
 from functools import reduce
-from pathlib import Path
-
-import pyarrow as pa
-from pyspark.util import PythonEvalType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import arrow_column, arrow_map, materialize
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from the files, so a lost executor costs no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def _ship(df: DataFrame) -> None:
-    """Send this package's code to the executors, once a session: a cluster need not have it installed."""
-    context = df.sparkSession.sparkContext
-    if getattr(context, "_package_sent", False):
-        return
-    package = Path(__file__).parents[1]
-    with zipfile.ZipFile(path := f"{tempfile.mkdtemp()}/{package.name}.zip", "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, str(file.relative_to(package.parent)))
-    context.addPyFile(path)
-    context._package_sent = True
-
-
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow for functions that live in this package."""
-    _ship(df)
-    return df.mapInArrow(run, schema)
-
-
-def partitions(df: DataFrame) -> int:
-    """How many partitions a shuffle has in this session."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["arrow_column", "arrow_map", "components", "materialize", "mixed"]
 
 
 def mixed(column: Column, salt: int) -> Column:
-    """A bijective reordering of a long column, another one for each salt."""
+    """A hash of a long column, by which to order it anew for each salt."""
     return F.xxhash64(column, F.lit(salt))
 
 
@@ -82,9 +43,3 @@ def components(edges: DataFrame) -> DataFrame:
         return found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
     return reduce(follow, hooks[1:], hooks[0].select("node", F.col("to").alias("root")))
-
-
-def arrow_column(df: DataFrame, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:
-    """A column function over Arrow arrays, for functions that live in this package; other columns do not pass through Python."""
-    _ship(df)
-    return F.arrow_udf(run, kind, PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)

@@ -166,4 +166,4 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> D
             found = [shared.value.predict(t) for t in texts.to_pylist()]
             yield pa.array([lang != NONE and score >= least for lang, score in found], pa.bool_())
 
-    return documents.where(arrow_column(documents, sure, "boolean")(F.col("text")))
+    return documents.where(arrow_column(documents.sparkSession, sure, "boolean")(F.col("text")))

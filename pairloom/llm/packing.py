@@ -22,6 +22,8 @@ from .tokens import word_ids
 
 #: Rounds of the least-squares fit; each moves the best patterns that share no length.
 ROUNDS = 400
+#: Lengths left over count by this power of their share of a sequence: short ones fill gaps later.
+POWER = 2.0
 
 
 def pieces(documents: DataFrame, tokenizer: str, most: int, end_id: int = 0) -> DataFrame:
@@ -68,9 +70,11 @@ def fit(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     if not len(patterns):
         return patterns, np.zeros(0, np.int64)
     one, two, three = (np.ascontiguousarray(x) for x in patterns.T)
-    norm = ((one > 0) + 1.0 * (two > 0) + 1 + 2.0 * ((one == two) & (one > 0)) + 2.0 * ((two == three) & (two > 0)) + 2.0 * ((one == three) & (one > 0))).astype(np.float64)
-    rest = histogram.astype(np.float64)
-    rest[0] = 0
+    weight = (np.arange(most + 1) / most) ** POWER  # no weight for length 0
+    norm = weight[one] + weight[two] + weight[three]
+    for x, y in ((one, two), (two, three), (one, three)):
+        norm += 2 * weight[x] * (x == y)
+    rest = histogram * weight
     used = np.zeros(len(patterns))
     for _ in range(rounds):
         slope = rest[one] + rest[two] + rest[three]
@@ -91,8 +95,7 @@ def fit(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
             taken |= mine
             used[k] += step[k]
             for length in patterns[k]:
-                if length:
-                    rest[length] -= step[k]
+                rest[length] -= step[k] * weight[length]
     return patterns, used
 
 

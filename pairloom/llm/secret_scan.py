@@ -47,7 +47,10 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 _NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 #: Letters that digits and marks stand for.
 _LEET = str.maketrans("@4301$57", "aaeoisst")
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_MONTH, _DAY, _YEAR = "(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"(?:19|20)\d\d"
+_DATES = [re.compile(d) for d in (f"{_YEAR}[-/._]?{_MONTH}[-/._]?{_DAY}", f"{_DAY}[-/._]?{_MONTH}[-/._]?{_YEAR}", _YEAR)]
+#: Repeats and walks may end anywhere within so many characters, and where they end of themselves.
+NEAR = 64
 #: Guesses (log10) that make a value a secret.
 LEAST_COST = 10.0
 _LOG2 = math.log10(2)
@@ -72,8 +75,8 @@ def guess_cost(value: str) -> float:
     alphabet = [1.0 if c.isdigit() else math.log10(26) if c.isalpha() and (c.islower() or c.isupper()) and c.isascii() else math.log10(33) for c in value]
     dates: dict[int, list[int]] = {}
     for at in range(n):
-        if value[at].isdigit() and (found := _DATE.match(value, at)):
-            dates.setdefault(at, []).append(found.end())
+        if value[at].isdigit():
+            dates[at] = [m.end() for d in _DATES if (m := d.match(value, at))]
     repeat_end = [[at] * 5 for at in range(n)]
     for size in range(1, 5):
         for at in range(n - size - 1, -1, -1):
@@ -96,12 +99,18 @@ def guess_cost(value: str) -> float:
         for end in dates.get(at, ()):
             reach(end, cost + math.log10(36_500 if end - at > 4 else 130))
         for size in range(1, 5):
-            end = repeat_end[at][size]
-            if end - at >= max(3, 2 * size):
-                reach(end, cost + sum(alphabet[at : at + size]) + math.log10((end - at) / size + 1))
-        if walk_end[at] - at >= 3:
-            turns = sum((lower[k + 1] > lower[k]) != (lower[k + 2] > lower[k + 1]) for k in range(at, min(walk_end[at] - 2, at + 64)))
-            reach(walk_end[at], cost + math.log10(50 * (walk_end[at] - at)) + turns * _LOG2)
+            last = repeat_end[at][size]
+            block = cost + sum(alphabet[at : at + size])
+            for end in {*range(at + max(3, 2 * size), min(last, at + NEAR) + 1), last}:
+                if end - at >= max(3, 2 * size):
+                    reach(end, block + math.log10((end - at) / size + 1))
+        turns, last = 0, walk_end[at]
+        for end in range(at + 3, last + 1):
+            turns += (lower[end - 2] > lower[end - 3]) != (lower[end - 1] > lower[end - 2])
+            if end <= at + NEAR or end == last:
+                reach(end, cost + math.log10(50 * (end - at)) + turns * _LOG2)
+            elif end > at + 4 * NEAR:
+                break
     return best[n]
 
 

@@ -96,7 +96,7 @@ def same_name(pair: Pair) -> DataFrame:
     """Pairs with equal names or equal mangled names: a union of two equi joins, as a disjunction could only be a nested loop."""
     left, right = _rows(pair.main, 1), _rows(pair.diff, 2)
     rows = left.join(right, F.col("mangled_function1") == F.col("mangled_function2")).union(left.join(right, F.col("name1") == F.col("name2"))).distinct()
-    keep = ~F.coalesce(F.col("name1").startswith("nullsub_"), F.lit(False)) & ~F.coalesce(is_auto(F.col("mangled_function1")), F.lit(False))
+    keep = ~F.coalesce(F.col("name1").ilike("nullsub_%"), F.lit(False)) & ~F.coalesce(is_auto(F.col("mangled_function1")), F.lit(False))
     return _found(rows.where(keep), "Perfect match, same name")
 
 
@@ -226,9 +226,13 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def callee_matches(pair: Pair, matches: DataFrame, column: str) -> DataFrame:
-    """Pairs of functions whose names replace each other where the texts of a match differ; names must be unique on their side."""
+    """Pairs of functions whose names replace each other where the texts of a match differ; names must be unique on their side.
+
+    Names that a match pairs already are not proposed again.
+    """
     names = arrow_map(text_pairs(matches, pair, column), _replaced, "name1 string, name2 string").distinct()
     names = names.where(~F.col("name1").startswith("nullsub") & ~F.col("name2").startswith("nullsub"))
+    names = names.join(matches.select("name1", "name2").distinct(), ["name1", "name2"], "left_anti")
     for number, side in enumerate(pair.sides(), 1):
         one = side.functions.groupBy("name").agg(F.count("*").alias("n"), F.first(F.struct("id", "address", "nodes")).alias("f")).where("n = 1")
         names = names.join(one.select(F.col("name").alias(f"name{number}"), F.col("f.id").alias(f"id{number}"), F.col("f.address").alias(f"ea{number}"), F.col("f.nodes").alias(f"nodes{number}")), f"name{number}")

@@ -103,7 +103,7 @@ def stripped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.stripped_matches(pair(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT {twins.found('Perfect match, same name')} FROM main_functions f, diff_functions df WHERE (f.mangled_function = df.mangled_function OR f.name = df.name) AND NOT starts_with(f.name, 'nullsub_') AND NOT starts_with(f.mangled_function, 'sub_')")
+@query(f"SELECT DISTINCT {twins.found('Perfect match, same name')} FROM main_functions f, diff_functions df WHERE (f.mangled_function = df.mangled_function OR f.name = df.name) AND f.name NOT ILIKE 'nullsub_%' AND NOT starts_with(f.mangled_function, 'sub_')")
 def same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.same_name(pair(spark, sf_dir))
 

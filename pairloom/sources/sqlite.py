@@ -52,8 +52,8 @@ class _Reader(DataSourceReader):
         return [_Range(k, min(k + step, high + 1)) for k in range(low, high + 1, step)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        allowed = [{T.LongType: int, T.DoubleType: (int, float), T.BinaryType: bytes}.get(type(f.dataType), str) for f in self.fields]
-        convert = [float if isinstance(f.dataType, T.DoubleType) else None for f in self.fields]
+        allowed = [{T.LongType: int, T.DoubleType: (int, float), T.BinaryType: (bytes, str)}.get(type(f.dataType), str) for f in self.fields]
+        convert = [{T.DoubleType: float, T.BinaryType: lambda v: v.encode() if isinstance(v, str) else v}.get(type(f.dataType)) for f in self.fields]
         columns = ", ".join(f'"{f.name}"' for f in self.fields)
         with _connect(self.path) as c:
             for row in c.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (partition.low, partition.high)):

@@ -154,3 +154,48 @@ def test_sqlite_and_parquet(spark, tmp_path):
             c.execute("UPDATE functions SET nodes = 'many' WHERE id = 2")
         read_sqlite(spark, path).functions.collect()
     assert set(SIDE_TABLES) >= {"program", "constants"}
+
+
+def test_same_name_leaves_null_subs_of_any_case(spark):
+    names = [{"name": n} for n in ("nullsubX", "NULLSUB_2", "nullsub", "good", "sub_1")]
+    got = {r.name1 for r in stages.same_name(Pair(catalog(spark, names), catalog(spark, names))).collect()}
+    assert got == {"nullsub", "good"}
+
+
+def test_callee_pairs_that_are_matched_are_not_proposed(spark):
+    def side(name):
+        return [{"name": f"caller_{name}", "nodes": 5, "assembly": f"a\ncall callee_{name}\nb"}, {"name": f"callee_{name}", "nodes": 5}]
+
+    pair = Pair(catalog(spark, side("one")), catalog(spark, side("two")))
+    matched = spark.createDataFrame([(1, 1, "caller_one", "caller_two")], "id1 long, id2 long, name1 string, name2 string")
+    assert [(r.name1, r.name2) for r in stages.callee_matches(pair, matched, "assembly").collect()] == [("callee_one", "callee_two")]
+    both = matched.union(spark.createDataFrame([(2, 2, "callee_one", "callee_two")], matched.schema))
+    assert stages.callee_matches(pair, both, "assembly").count() == 0
+
+
+def test_arriving_catalogs(spark, tmp_path):
+    from pairloom.streaming.arrivals import follow
+
+    stored.write_catalog(catalog(spark, _functions(8)), f"{tmp_path}/v0")
+    stored.write_catalog(catalog(spark, _functions(8, 8, "sub")), f"{tmp_path}/v1")
+    spark.createDataFrame([(f"{tmp_path}/v1",)], "path string").write.parquet(f"{tmp_path}/arrivals")
+    paths = spark.readStream.schema("path string").parquet(f"{tmp_path}/arrivals")
+    follow(paths, f"{tmp_path}/v0", f"{tmp_path}/out", f"{tmp_path}/check", plan.Settings(rounds=1)).awaitTermination(240)
+    got = {r.name for r in spark.read.parquet(f"{tmp_path}/out/0-0/functions").collect()}
+    assert got == {f"fn_{k}" for k in range(8)}
+
+
+def test_commands_and_resuming(spark, tmp_path, capsys):
+    from pairloom.__main__ import run
+
+    stored.write_catalog(catalog(spark, _functions(8)), f"{tmp_path}/v0")
+    stored.write_catalog(catalog(spark, _functions(8, 8, "sub")), f"{tmp_path}/v1")
+    assert run(spark, ["version"]) == 0 and capsys.readouterr().out == "0.1\n"
+    given = ["diff", f"{tmp_path}/v0", f"{tmp_path}/v1", "--resume", f"{tmp_path}/steps"]
+    assert run(spark, [*given, "-o", f"{tmp_path}/a"]) == 0
+    assert run(spark, [*given, "-o", f"{tmp_path}/b"]) == 0  # every pass is read from the first run's
+    a, b = (spark.read.parquet(f"{tmp_path}/{x}/results") for x in "ab")
+    assert a.count() == 8 and evaluate.same_rows(a, b, a.columns).first() == (0, 0)
+    assert run(spark, ["port", f"{tmp_path}/v0", f"{tmp_path}/v1", "--results", f"{tmp_path}/a/results", "-o", f"{tmp_path}/p"]) == 0
+    assert {r.name for r in spark.read.parquet(f"{tmp_path}/p/labelled/functions").collect()} == {f"fn_{k}" for k in range(8)}
+    assert run(spark, ["info", f"{tmp_path}/p/labelled"]) == 0

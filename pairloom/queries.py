@@ -161,12 +161,18 @@ def local_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.local_affinity(p, items(p))
 
 
-@query()
+@query(f"""{_ITEMS}, one AS (SELECT name FROM main_functions GROUP BY name HAVING count(*) = 1), two AS (SELECT name FROM diff_functions GROUP BY name HAVING count(*) = 1)
+SELECT DISTINCT {twins.found('Callee found diffing matches assembly')} FROM (SELECT DISTINCT id1, id2 FROM items) JOIN main_functions f ON f.id = id1 + 1 JOIN diff_functions df ON df.id = id2 + 1
+WHERE f.name <> df.name AND f.name IN (FROM one) AND df.name IN (FROM two) AND (f.name, df.name) NOT IN (SELECT (name1, name2) FROM items) AND least(f.nodes, df.nodes) >= 3 AND least(f.nodes, df.nodes) * 100 >= greatest(f.nodes, df.nodes) * 25""")
 def callee_diffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of functions written into the texts of matches, so that replaced names are those of functions."""
+    """Each function calls the next one, so the callees of a match replace each other in its texts."""
     p = pair(spark, sf_dir)
-    call = lambda side, n: Catalog(side.functions.withColumn("assembly", F.concat(F.lit("push\ncall "), "name", F.lit("\nret"))), side.tables)
-    return stages.callee_matches(Pair(call(p.main, 1), call(p.diff, 2)), items(p), "assembly")
+
+    def calling(side: Catalog) -> Catalog:
+        after = side.functions.select((F.col("id") - 1).alias("id"), F.concat(F.lit("push\ncall "), "name", F.lit("\nret")).alias("assembly"))
+        return Catalog(side.functions.drop("assembly").join(after, "id", "left"), side.tables)
+
+    return stages.callee_matches(Pair(calling(p.main), calling(p.diff)), items(p), "assembly")
 
 
 @query()

@@ -28,8 +28,8 @@ CONTENT = 0.9
 LEAST, LEAST_INSIDE = 0.35, 0.1
 #: Distinct pages that a host must have for its style tree to count.
 LEAST_PAGES = 4
-#: Verdicts (a host's list of nodes each) up to which they are broadcast; more are joined by a shuffle on the host.
-BROADCAST_HOSTS = 20_000
+#: Low-importance nodes of all hosts up to which they are broadcast; more are joined by a shuffle on the host.
+BROADCAST_NODES = 100_000
 
 #: Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -251,7 +251,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     low = F.when(F.col("inside"), F.col("marked") & (F.col("importance") < LEAST_INSIDE)).otherwise(F.col("importance") < LEAST)
     noise = style_tree(pages).where((F.col("pages") >= least_pages) & ~F.col("outside") & low)
     verdicts = materialize(noise.groupBy("host").agg(F.collect_set("path").alias("noise")))
-    if verdicts.count() <= BROADCAST_HOSTS:
+    if (verdicts.agg(F.sum(F.size("noise") + 1)).first()[0] or 0) <= BROADCAST_NODES:
         verdicts = F.broadcast(verdicts)
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(verdicts, "host", "left").select("page_id", "url", "html", "noise")
 

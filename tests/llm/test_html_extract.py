@@ -60,7 +60,7 @@ def test_site_style_tree(spark):
 def test_shuffle_join_of_verdicts(spark, monkeypatch):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     wanted = html_extract.extract(pages).collect()
-    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", -1)
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", -1)
     assert sorted(html_extract.extract(pages).collect(), key=str) == sorted(wanted, key=str)
 
 

@@ -70,6 +70,11 @@ def block_mnemonics(side: Catalog) -> DataFrame:
     return gathered.select("func", F.when(F.size("m") > 0, F.array_join(F.transform("m", lambda x: x["mnemonic"]), ",")).alias("list"), "total")
 
 
+def first_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first candidates of a heuristic in its order, where only so many shall be looked at."""
+    return rows.orderBy("taken", "id1", "id2").limit(most)
+
+
 def candidates(pair: Pair, h: Heuristic, ignore_small: bool = False) -> DataFrame:
     """The rows of a heuristic, with the columns COLUMNS. A pair may come more than once unless the heuristic is distinct."""
     f, df = pair.main.numbered().alias("f"), pair.diff.numbered().alias("df")

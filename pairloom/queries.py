@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .durable import materialize
 from .functions import names
 from .operators import evaluate, graph, port, results, similarity, stages, state
-from .operators.candidates import block_mnemonics, candidates
+from .operators.candidates import block_mnemonics, candidates, first_rows
 from .plans import diff as plan
 from .plans import twins
 from .plans.registry import HEURISTICS, Heuristic
@@ -260,6 +260,16 @@ def results_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.read_results(results.result_rows(items(pair(spark, sf_dir)))).drop("place")
 
 
+@query(f"{_ITEMS}, ranked AS {SQL['results_sink'].rpartition('ranked AS')[2].partition('SELECT category AS type')[0]}, written AS (SELECT category AS type, {SQL['results_sink'].rpartition('SELECT category AS type,')[2]}) SELECT * FROM written ORDER BY ratio::double, address, address2 LIMIT 20")
+def weakest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.weakest(results.result_rows(items(pair(spark, sf_dir))))
+
+
+@query(f"SELECT * FROM ({twins.heuristic(HEURISTICS[41])}) ORDER BY taken, id1, id2 LIMIT 500")
+def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_rows(candidates(pair(spark, sf_dir), HEURISTICS[41]), 500)
+
+
 @query()
 def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole diff of the two catalogs, which are made from the test tables first."""

@@ -193,3 +193,19 @@ def near_duplicates(documents: DataFrame, distance: int = 2, words: int = 3, mos
     named = linked.join(least, "root").select("fp", "component_id")
     alone = distinct.where("n > 1").join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     return docs.join(named.unionByName(alone), "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(documents: DataFrame, distance: int = 2, words: int = 3, most: int = MOST) -> DataFrame:
+    """documents with one row of each component: that of the smallest doc_id.
+
+    Rows equal in doc_id and text are one document, of which one row stays. Rows without a doc_id cannot be told apart
+    by it: they stay, those of equal texts once.
+    """
+    near = materialize(near_duplicates(documents, distance, words, most))
+    same = lambda other: F.col("doc_id").cast("long").eqNullSafe(other["__d"])
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
+    kept = documents.join(gone, same(gone), "left_anti")
+    again = materialize(near.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__d")))
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -86,3 +86,12 @@ def test_documents(spark):
         assert by[9].component_id == 2
     assert by[1].component_id == 1 and by[None].component_id is None
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(3, "a b c d"), (2, "A B C d"), (2, "A B C d"), (5, "x y z"), (5, "x y z"), (5, "quite another text of the same id"), (7, None), (6, ""), (None, "n o p"), (None, "n o p"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, __x string")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, "A B C d"), (5, "x y z"), (5, "quite another text of the same id"), (6, ""), (None, "n o p"), (None, None)], key=str)
+    assert simhash.keep_first(docs.where("doc_id IN (3, 5) AND text <> 'x y z'")).count() == 2 and simhash.keep_first(docs.where("false")).count() == 0

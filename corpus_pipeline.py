@@ -13,7 +13,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontam, langid, line_dedup, packing, simhash
+from pairloom.llm import decontam, langid, line_dedup, near_copies, packing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, in one row."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (Jaccard of 5-word shingles 0.8 or more) the document with the smallest doc_id stays, in one row."""
+    return near_copies.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

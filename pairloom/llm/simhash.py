@@ -201,7 +201,12 @@ def keep_first(documents: DataFrame, distance: int = 2, words: int = 3, most: in
     Rows equal in doc_id and text are one document, of which one row stays. Rows without a doc_id cannot be told apart
     by it: they stay, those of equal texts once.
     """
-    near = materialize(near_duplicates(documents, distance, words, most))
+    return keep_least(documents, near_duplicates(documents, distance, words, most))
+
+
+def keep_least(documents: DataFrame, near: DataFrame) -> DataFrame:
+    """documents with one row of each component in near (doc_id, component_id of every row), as keep_first says."""
+    near = materialize(near)
     same = lambda other: F.col("doc_id").cast("long").eqNullSafe(other["__d"])
     gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
     kept = documents.join(gone, same(gone), "left_anti")

@@ -2,7 +2,7 @@
 
 Fixed masks look at some positions of a short span of tokens and ignore the others, so a substituted token there does not
 hide a copied passage. The hashes of all benchmark items under all masks are joined with those of the documents; around
-each hit, the alignment it implies is extended both ways and kept if enough tokens agree. A bitmap of bounded size tells
+each hit, the alignment it implies is extended both ways from every run of agreeing tokens and kept if enough agree. A bitmap of bounded size tells
 the map side which hashes can be in the benchmark at all, so that only tokens near likely hits are shuffled.
 """
 
@@ -166,20 +166,29 @@ def extend(same: np.ndarray, first: int, last: int) -> tuple[int, int]:
     return start, end
 
 
+def spans(same: np.ndarray) -> set[tuple[int, int]]:
+    """The best-scoring spans of an alignment that hold each of its runs of agreeing tokens, and so each of its hits."""
+    steps = np.diff(np.r_[0, same.astype(np.int8), 0])
+    return {extend(same, first, end - 1) for first, end in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist())}
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, out = [], []
-        begins, shifts, ats, texts, items = (batch.column(k).to_pylist() for k in range(2, 7))
-        for row, (begin, shift, at, text, item) in enumerate(zip(begins, shifts, ats, texts, items)):
+        begins, shifts, texts, items = (batch.column(k).to_pylist() for k in range(2, 6))
+        for row, (begin, shift, text, item) in enumerate(zip(begins, shifts, texts, items)):
             doc, own = np.frombuffer(text, np.uint64), np.frombuffer(item, np.uint64)
             low, high = max(0, begin - shift), min(len(own), begin + len(doc) - shift)  # of the item, in the block's context
             same = own[low:high] == doc[low + shift - begin : high + shift - begin]
-            seed = at - shift - low
-            start, end = extend(same, seed, min(seed, len(same) - 1))
-            agree = int(same[start:end].sum())
-            if agree >= min(MIN_TOKENS, MIN_SHARE * len(own)) and agree >= MIN_SHARE * (end - start):
+            found = []
+            for start, end in spans(same):
+                agree = int(same[start:end].sum())
+                if agree >= min(MIN_TOKENS, MIN_SHARE * len(own)) and agree >= MIN_SHARE * (end - start):
+                    found.append((agree, start - end, -start))
+            if found:
+                agree, length, start = max(found)
                 rows.append(row)
-                out.append((agree, end - start, low + start, low + start + shift))
+                out.append((agree, -length, low - start, low - start + shift))
         columns = [*zip(*out)] or [[]] * 4
         at = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "item_id", "agree", "length", "item_start", "doc_start"])
@@ -195,9 +204,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = materialize(_items(benchmark).distinct())
     blocks = materialize(_blocks(documents, _bitmap(hashes)).withColumn("block", F.xxhash64("doc_id", "begin", "tokens")))
     hits = blocks.select("block", F.explode("hits").alias("hit")).select("block", "hit.hash", F.col("hit.at").alias("place"))
-    aligned = hits.join(hashes, "hash").groupBy("block", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.min("place").alias("place"))
+    aligned = hits.join(hashes, "hash").select("block", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct()
     both = aligned.join(blocks.drop("hits").dropDuplicates(["block"]), "block").join(_item_tokens(benchmark), "item_id")
-    found = arrow_map(both.select("doc_id", "item_id", "begin", "shift", "place", "tokens", "item"), _verify, "doc_id long, item_id long, agree long, length long, item_start long, doc_start long")
+    found = arrow_map(both.select("doc_id", "item_id", "begin", "shift", "tokens", "item"), _verify, "doc_id long, item_id long, agree long, length long, item_start long, doc_start long")
     best = F.max(F.struct("agree", (-F.col("length")).alias("l"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
     found = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "item_id", F.col("b.agree").alias("agree"), (-F.col("b.l")).alias("length"), (-F.col("b.i")).alias("item_start"), (-F.col("b.d")).alias("doc_start"))

@@ -53,3 +53,20 @@ def test_extension_is_the_best_span():
         start, end = decontam.extend(same, at, at)
         best = max(points[a:b].sum() for a in range(at + 1) for b in range(at + 1, 31))
         assert start <= at < end and points[start:end].sum() == best
+
+
+def test_every_run_of_an_alignment_is_verified(spark):
+    item = [f"w{k}" for k in range(27)]
+    doc = [f"d{k}" for k in range(50)] + item[:7] + [f"o{k}" for k in range(6)] + item[13:] + [f"e{k}" for k in range(50)]
+    d = spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string")
+    b = spark.createDataFrame([(4, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontam.leaks(d, b).collect()] == [(1, 4, 14, 14, 13, 63)]
+
+
+def test_spans_hold_the_best_for_every_token():
+    rng = random.Random(6)
+    for _ in range(100):
+        same = np.array([rng.random() < 0.7 for _ in range(40)])
+        found = decontam.spans(same)
+        assert {decontam.extend(same, k, k) for k in np.flatnonzero(same).tolist()} == found
+    assert decontam.spans(np.zeros(3, bool)) == set() == decontam.spans(np.zeros(0, bool))

@@ -4,8 +4,9 @@ A window is the shortest span of lines from a line on that has min_words words (
 window the least line hash, the rightmost of equals, is its fingerprint: equal windows choose the same one, so runs that
 share min_words words or more are sure to share a fingerprint, while most lines never leave the map side. Positions of
 fingerprints that occur once are dropped; the windows around the others are joined with the first place where the same
-window occurs, which extends each match both ways as far as it goes, since the windows of a longer run overlap. Windows
-that occur earlier chain to maximal runs, and those lines are deleted. Earlier: smaller doc_id, then earlier in the text.
+window occurs. Windows that occur earlier chain to runs, and those lines are deleted. That leaves a run's last lines where
+they have under min_words words and the line before them fills a window; with whole, the shortest spans up to a line are
+compared likewise, and every line of a run that occurs earlier is in a span of one of the two kinds within the run. Earlier: smaller doc_id, then earlier in the text.
 """
 
 from __future__ import annotations
@@ -22,38 +23,53 @@ from .common import arrow_map, materialize
 
 #: Words that a repeated run must have.
 MIN_WORDS = 30
+#: Tells spans up to a line from those from a line on.
+UP_TO = 0x9E3779B97F4A7C15
 
 
 def _line_hash(line: bytes) -> int:
     return xxhash.xxh64_intdigest(line)
 
 
-def windows_of(text: bytes, min_words: int) -> Iterator[tuple[int, int, bool, int, int, int]]:
-    """(first line, last line and the blank ones after it, whether the fingerprint is another than the window before had, fingerprint, 128-bit hash as two)."""
+def windows_of(text: bytes, min_words: int, whole: bool = False) -> Iterator[tuple[int, int, bool, int, int, int]]:
+    """(first line, last line and the blank ones after it, whether the fingerprint is another than the window before had, fingerprint, 128-bit hash as two).
+
+    whole: then the shortest spans up to a line that are no windows from a line on, with fingerprints and hashes of their own.
+    """
     lines = [line.strip() for line in text.split(b"\n")]
     at = [k for k, line in enumerate(lines) if line]
     after = [*at[1:], len(lines)]
     words = np.cumsum([len(lines[k].split()) for k in at]) if at else np.zeros(0, np.int64)
     before = np.r_[0, words[:-1]] if at else words
     hashes = [_line_hash(lines[k]) for k in at]
-    last = -1
-    for k, end in enumerate(np.searchsorted(words, before + min_words).tolist()):
-        if end == len(at):
-            return
+
+    def row(k: int, end: int, last: int, seed: int) -> tuple[int, tuple[int, int, bool, int, int, int]]:
         own = hashes[k : end + 1]
         least = min(own)
         chosen = end - own[::-1].index(least)
-        key = xxhash.xxh3_128_intdigest(b"\n".join([lines[x] for x in at[k : end + 1]]))
-        yield at[k], after[end] - 1, chosen != last, least, key >> 64, key & ((1 << 64) - 1)
-        last = chosen
+        key = xxhash.xxh3_128_intdigest(b"\n".join([lines[x] for x in at[k : end + 1]]), seed=seed)
+        return chosen, (at[k], after[end] - 1, chosen != last, least ^ seed, key >> 64, key & ((1 << 64) - 1))
+
+    ends = np.searchsorted(words, before + min_words).tolist()
+    last = -1
+    for k, end in enumerate(ends):
+        if end == len(at):
+            break
+        last, found = row(k, end, last, 0)
+        yield found
+    last = -1
+    for end, k in enumerate((np.searchsorted(before, words - min_words, "right") - 1).tolist() if whole else []):
+        if k >= 0 and ends[k] != end:
+            last, found = row(k, end, last, UP_TO)
+            yield found
 
 
-def _windows(documents: DataFrame, min_words: int) -> DataFrame:
+def _windows(documents: DataFrame, min_words: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                more = [*windows_of(text or b"", min_words)]
+                more = [*windows_of(text or b"", min_words, whole)]
                 rows += [k] * len(more)
                 found += more
             columns = [*zip(*found)] or [[]] * 6
@@ -71,9 +87,9 @@ def _version() -> Column:
     return F.xxhash64("text").alias("version")
 
 
-def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc_id, version, runs: for each document with lines to delete, its maximal runs of them (start and end, lines from 0, both inclusive)."""
-    windows = materialize(_windows(documents, min_words))
+    windows = materialize(_windows(documents, min_words, whole))
     shared = windows.groupBy("fp").agg(F.sum(F.col("fresh").cast("int")).alias("n")).where("n > 1").select("fp")
     place = F.struct("doc_id", "version", "start")
     near = windows.join(shared, "fp", "left_semi")
@@ -88,14 +104,14 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     return runs.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """documents with the later ones of repeated runs of lines deleted from text, and the column removed_runs (null for none).
 
     Lines compare without the white space at their ends; blank lines after a deleted line go with it. Null and empty
     texts stay. Repeated rows (equal doc_id and text) are one document: all keep or lose the same lines. A null doc_id
-    comes first. Extra columns stay as they are, whatever their names.
+    comes first. With whole, runs go as far as they are equal (module). Extra columns stay as they are, whatever their names.
     """
-    runs = repeated_runs(documents, min_words)
+    runs = repeated_runs(documents, min_words, whole)
     runs = runs.select(F.col("doc_id").alias("__d"), F.col("version").alias("__v"), F.col("runs").alias("removed_runs"))
     rows = documents.drop("removed_runs").withColumn("__version", _version())
     joined = rows.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left")

@@ -58,3 +58,44 @@ def test_edge_cases(spark):
 
 def test_query(spark):
     same(spark, QUERIES["op1_line_dedup"], SQL["op1_line_dedup"], SMALL)
+
+
+def _runs(docs, least):
+    """Deletes every line of a run that occurs earlier, by following each diagonal as far as lines are equal."""
+    solid = [(d, [(k, x.strip(SPACES)) for k, x in enumerate(t.split("\n")) if x.strip(SPACES)]) for d, t in sorted(docs.items())]
+    gone = {d: set() for d in docs}
+    for n, (d, own) in enumerate(solid):
+        for e, other in solid[: n + 1]:
+            for i in range(len(own)):
+                for j in range(i if e == d else len(other)):
+                    if i and j and own[i - 1][1] == other[j - 1][1]:
+                        continue
+                    length = 0
+                    while i + length < len(own) and j + length < len(other) and own[i + length][1] == other[j + length][1]:
+                        length += 1
+                    if sum(len(x.split()) for _, x in own[i : i + length]) >= least:
+                        gone[d] |= {k for k, _ in own[i : i + length]}
+    out = {}
+    for d, t in docs.items():
+        lines = t.split("\n")
+        for k, x in enumerate(lines):
+            if k - 1 in gone[d] and not x.strip(SPACES):
+                gone[d].add(k)
+        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone[d])
+    return out
+
+
+def test_runs_go_as_far_as_they_are_equal(spark):
+    passage = " ".join(f"a{k}" for k in range(45)) + "\n" + " ".join(f"b{k}" for k in range(10))
+    docs = {1: passage + "\nfirst end", 2: f"other start\n{passage}\nsecond end"}
+    got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"), whole=True)
+    assert {r.doc_id: r.text for r in got.collect()} == {1: docs[1], 2: "other start\nsecond end"}
+
+
+def test_whole_runs_against_brute_force(spark):
+    rng = random.Random(8)
+    for seed in range(3):
+        pool = [" ".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(8)] + ["", "  ", "long " * 9]
+        docs = {k: "\n".join(rng.choices(pool, k=rng.randint(0, 14))) for k in range(25)}
+        got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"), 6, whole=True)
+        assert {r.doc_id: r.text for r in got.collect()} == _runs(docs, 6) != _brute(docs, 6)

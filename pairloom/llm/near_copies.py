@@ -64,16 +64,18 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), F.col("text").cast("binary"))
 
 
-def _sets(documents: DataFrame) -> DataFrame:
-    """doc_id, version, set (its identity), n and bitmap of every row."""
+def _sets(documents: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, version, set (its identity), n, bitmap and prefix of every row."""
+    shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
         for batch in batches:
             own = [shingles(t) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), _signed([*map(_identity, own)]), pa.array([*map(len, own)], pa.int32()), pa.array([*map(_bitmap, own)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "set", "n", "bitmap"])
+            columns = [batch.column(0), batch.column(1), _signed([*map(_identity, own)]), pa.array([*map(len, own)], pa.int32()), pa.array([*map(_bitmap, own)], pa.binary()), pa.array([prefix(x, last).tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "set", "n", "bitmap", "prefix"])
 
-    return arrow_map(_texts(documents), run, "doc_id long, version long, set long, n int, bitmap binary")
+    return arrow_map(_texts(documents), run, "doc_id long, version long, set long, n int, bitmap binary, prefix binary")
 
 
 def _hashes(documents: DataFrame) -> DataFrame:
@@ -108,27 +110,23 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~late], hashes[late]])[: n - (4 * n + 4) // 5 + 1] if n else hashes
 
 
-def _prefixes(documents: DataFrame, common: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame) -> DataFrame:
     """hash, set, n and place for the hashes of each set's prefix; equal sets of a partition once."""
-    shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
+        seen = set()
         for batch in batches:
             out = []
-            for text in batch.column(2).to_pylist():
-                own = shingles(text)
-                key = _identity(own)
-                if key in seen or not len(own):
+            for key, n, first in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if key in seen or not n:
                     continue
                 seen.add(key)
-                first = prefix(own, last)
-                out.append((first, np.full(len(first), key, np.uint64), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)))
+                first = np.frombuffer(first, np.int64)
+                out.append((first, np.full(len(first), key, np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
             if out:
-                h, s, n, at = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n), pa.array(at)], names=["hash", "set", "n", "place"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (np.concatenate(c) for c in zip(*out)))], names=["hash", "set", "n", "place"])
 
-    return arrow_map(_texts(documents), run, "hash long, set long, n int, place int")
+    return arrow_map(docs.select("set", "n", "prefix"), run, "hash long, set long, n int, place int")
 
 
 def _by_bucket(work):
@@ -165,38 +163,64 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+class _Bounds:
+    """Rows of buckets (hash, set, n, place, bitmap), and which pairs of them can be near copies."""
+
+    def __init__(self, rows: pa.Table):
+        self.hash, self.set, n, place = (rows.column(k).to_numpy() for k in range(4))
+        self.n, self.place = n.astype(np.int64), place.astype(np.int64)
+        self.bits = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(n), -1)
+        self.heads = np.flatnonzero(np.r_[True, self.hash[1:] != self.hash[:-1]])
+        self.ends = np.r_[self.heads[1:], len(n)]
+
+    def hold(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows of one bucket each are within the bounds."""
+        n, place = self.n, self.place
+        most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        keep = np.flatnonzero(_alike(most, n[i], n[j]))
+        differ = np.bitwise_count(self.bits[i[keep]] ^ self.bits[j[keep]]).sum(1, dtype=np.int64)
+        return keep[_alike((n[i[keep]] + n[j[keep]] - differ) // 2, n[i[keep]], n[j[keep]])]
+
+    def pairs(self, apart: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of rows within the bounds, in blocks; with apart, those that differ in it."""
+        for low, high in zip(self.heads.tolist(), self.ends.tolist()):
+            if apart is not None and (apart[low:high] == apart[low]).all():
+                continue
+            for at in range(low, high, ROWS):
+                for to in range(at, high, ROWS):
+                    x, y = np.arange(at, min(at + ROWS, high))[:, None], np.arange(to, min(to + ROWS, high))[None, :]
+                    fit = (x < y) & (5 * np.minimum(self.n[x], self.n[y]) >= 4 * np.maximum(self.n[x], self.n[y]))
+                    i, j = np.nonzero(fit if apart is None else fit & (apart[x] != apart[y]))
+                    i, j = i + at, j + to
+                    keep = self.hold(i, j)
+                    yield i[keep], j[keep]
+
+
+def _possible(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows that can be near copies of another one in their bucket."""
+    keep = np.zeros(len(rows), bool)
+    for i, j in _Bounds(rows).pairs():
+        keep[i] = keep[j] = True
+    yield from rows.filter(pa.array(keep)).to_batches()
+
+
 def _led(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """The sets of each bucket with its first ones."""
-    h, s = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    head = np.repeat(heads, np.diff(np.r_[heads, len(h)]))
-    at = np.arange(len(h))
+    of = _Bounds(rows)
+    head, at = np.repeat(of.heads, of.ends - of.heads), np.arange(len(rows))
     for k in range(LEADERS):
-        mine = at > head + k
-        yield _pairs(s[head[mine] + k], s[mine])
+        j = at[at > head + k]
+        i = head[j] + k
+        keep = of.hold(i, j)
+        yield _pairs(of.set[i[keep]], of.set[j[keep]])
 
 
 def _left(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The pairs of each bucket in different components that the bounds leave."""
-    h, s, n, place, root = (rows.column(k).to_numpy() for k in range(5))
-    n = n.astype(np.int64)
-    bits = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint64).reshape(len(h), -1)
-    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(h)]):
-        if (root[low:high] == root[low]).all():
-            continue
-        for at in range(low, high, ROWS):
-            for to in range(at, high, ROWS):
-                x, y = np.arange(at, min(at + ROWS, high))[:, None], np.arange(to, min(to + ROWS, high))[None, :]
-                i, j = np.nonzero((x < y) & (root[x] != root[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])))
-                i, j = i + at, j + to
-                most = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-                keep = _alike(most, n[i], n[j])
-                i, j = i[keep], j[keep]
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-                keep = _alike((n[i] + n[j] - differ) // 2, n[i], n[j])
-                if keep.any():
-                    yield _pairs(s[i[keep]], s[j[keep]])
+    """The pairs of each bucket in different components."""
+    of = _Bounds(rows)
+    for i, j in of.pairs(rows.column(5).to_numpy()):
+        if len(i):
+            yield _pairs(of.set[i], of.set[j])
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -220,20 +244,21 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
     Texts without words are copies of each other. A null doc_id names a component only where all its members are null.
     """
-    docs = materialize(_sets(documents))
-    dealt = _prefixes(documents, _common(documents)).repartition("hash").sortWithinPartitions("hash", "set")
-    shared = materialize(arrow_map(dealt, _by_bucket(_shared), "hash long, set long, n int, place int"))
-    needed = docs.join(shared.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "version")).alias("m"))
-    needed = needed.select(F.col("m.doc_id").alias("__d"), F.col("m.version").alias("__v")).distinct()
+    docs = materialize(_sets(documents, _common(documents)))
+    sort = lambda rows: rows.repartition("hash").sortWithinPartitions("hash", "set")
+    shared = materialize(arrow_map(sort(_prefixes(docs)), _by_bucket(_shared), "hash long, set long, n int, place int"))
+    rows = shared.join(docs.select("set", "bitmap").dropDuplicates(["set"]), "set").select("hash", "set", "n", "place", "bitmap")
+    rows = materialize(arrow_map(sort(rows), _by_bucket(_possible), "hash long, set long, n int, place int, bitmap binary"))
+    needed = docs.select("set", "doc_id", "version").join(rows.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("doc_id", "version")).alias("m"))
+    needed = materialize(needed.select(F.col("m.doc_id").alias("__d"), F.col("m.version").alias("__v")).distinct())
     read = documents.select("doc_id", "text").join(needed, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__v")), "left_semi")
-    hashes = materialize(_hashes(read).dropDuplicates(["set"]))
+    hashes = materialize(_hashes(read))
     # the order by set is the same in every bucket, so sets that share many buckets have the same leaders in them
-    led = arrow_map(shared.select("hash", "set").repartition("hash").sortWithinPartitions("hash", "set"), _by_bucket(_led), "a long, b long")
+    led = arrow_map(sort(rows), _by_bucket(_led), "a long, b long")
     links = materialize(_verified(led, hashes))
     roots = components(links).withColumnRenamed("node", "set")
-    named = docs.dropDuplicates(["set"]).select("set", "bitmap").join(roots, "set", "left")
-    rows = shared.join(named, "set").select("hash", "set", "n", "place", F.coalesce("root", "set").alias("root"), "bitmap")
-    left = arrow_map(rows.repartition("hash").sortWithinPartitions("hash", "set"), _by_bucket(_left), "a long, b long")
+    rows = rows.join(roots, "set", "left").select("hash", "set", "n", "place", "bitmap", F.coalesce("root", "set").alias("root"))
+    left = arrow_map(sort(rows), _by_bucket(_left), "a long, b long")
     roots = materialize(components(links.unionByName(materialize(_verified(left, hashes)))).withColumnRenamed("node", "set"))
     least = docs.groupBy("set").agg(F.min("doc_id").alias("least")).join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     least = materialize(least)

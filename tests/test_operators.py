@@ -199,3 +199,32 @@ def test_commands_and_resuming(spark, tmp_path, capsys):
     assert run(spark, ["port", f"{tmp_path}/v0", f"{tmp_path}/v1", "--results", f"{tmp_path}/a/results", "-o", f"{tmp_path}/p"]) == 0
     assert {r.name for r in spark.read.parquet(f"{tmp_path}/p/labelled/functions").collect()} == {f"fn_{k}" for k in range(8)}
     assert run(spark, ["info", f"{tmp_path}/p/labelled"]) == 0
+
+
+def test_rounds_go_on_until_nothing_is_added(spark, monkeypatch):
+    """A chain of callees 14 deep: each round of passes finds one more."""
+    asked = []
+
+    class Stepping(plan.Diff):
+        def passes(self, found, bonus=False):
+            self.matches = spark.createDataFrame([], "id1 long, id2 long, name1 string, name2 string, category string, ratio double")
+
+        def heuristics(self, category):
+            pass
+
+        def total(self):
+            asked.append(min(len(asked), 14))
+            return asked[-1]
+
+    for name in ("callee_matches", "related_constants", "related_units", "local_affinity", "seeds"):
+        monkeypatch.setattr(plan.stages, name, lambda *_: None)
+    monkeypatch.setattr(plan, "materialize", lambda df: df)
+    monkeypatch.setattr(plan, "line_numbers", lambda s: s)
+    monkeypatch.setattr(plan, "final_pass", lambda m: m)
+    monkeypatch.setattr(plan, "unmatched", lambda *_: None)
+    pair = Pair(catalog(spark, _functions(3)), catalog(spark, _functions(3)))
+    Stepping(pair).run()
+    assert asked == [*range(15), 14]
+    asked.clear()
+    Stepping(pair, plan.Settings(rounds=3)).run()
+    assert asked == [0, 1, 2]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..durable import arrow_column, arrow_map, materialize
 
-__all__ = ["arrow_column", "arrow_map", "components", "materialize", "mixed"]
+__all__ = ["arrow_column", "arrow_map", "components", "every", "materialize", "mixed", "spare"]
 
 
 def mixed(column: Column, salt: int) -> Column:
@@ -17,6 +17,19 @@ def mixed(column: Column, salt: int) -> Column:
     return F.xxhash64(column, F.lit(salt))
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def every(frame: DataFrame) -> list[Column]:
+    """All columns of a frame, names with dots or quotes among them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected links (a, b): long; root is one node of its component.
 

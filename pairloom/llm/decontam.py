@@ -2,14 +2,16 @@
 
 Fixed masks look at some positions of a short span of tokens and ignore the others, so a substituted token there does not
 hide a copied passage. The hashes of all benchmark items under all masks are joined with those of the documents; around
-each hit, the alignment it implies is extended both ways from every run of agreeing tokens and kept if enough agree. A bitmap of bounded size tells
-the map side which hashes can be in the benchmark at all, so that only tokens near likely hits are shuffled.
+each hit, the alignment it implies is extended both ways from every run of agreeing tokens, as far as the item goes, and
+kept if enough agree. Items too short for a mask are sought word for word. A bitmap of bounded size tells the map side
+which hashes can be in the benchmark at all, so that only tokens near likely hits are shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, materialize, spare
 
 #: Positions that count (1) and that are ignored (0).
 MASKS = ("1110011", "11010101", "110010011")
 #: Agreeing tokens that make a leak (or MIN_SHARE of a shorter item), and the share of agreeing tokens in it.
 MIN_TOKENS, MIN_SHARE = 10, 0.75
-#: Tokens of a block of a document, and of the context kept on both sides of it: an alignment is followed so far.
-BLOCK, CONTEXT = 128, 256
+#: Items of fewer tokens than the shortest mask must agree in all; those under LEAST_PASSAGE are no passage: they match documents without other tokens.
+SHORT, LEAST_PASSAGE = min(map(len, MASKS)), 3
+#: Least tokens of a block of a document; blocks are as long as the longest item, which is also the context on both sides.
+BLOCK = 128
+#: Bytes of item tokens up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Bits of the bitmap: so many a benchmark hash, within these bounds; and the bits that each hash sets.
 BITS_EACH, LEAST_BITS, MOST_BITS, PLACES = 64, 1 << 16, 1 << 27, 4
 #: Points an agreeing and a differing token count in an extension.
@@ -58,39 +64,54 @@ def tokens(text: bytes) -> np.ndarray:
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
+def _hashed(found: np.ndarray, mask: str, salt: int) -> np.ndarray:
+    places = max(0, len(found) - len(mask) + 1)
+    out = np.full(places, salt, np.uint64)
+    for k, at in enumerate(k for k, c in enumerate(mask) if c == "1"):
+        out += found[at : at + places] * _ODD[k]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
 def seeds(found: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[np.ndarray]:
     """For each mask, the hashes of all its places over the tokens."""
     for n, mask in enumerate(masks):
-        places = max(0, len(found) - len(mask) + 1)
-        out = np.full(places, n + 1, np.uint64)
-        for k, at in enumerate(k for k, c in enumerate(mask) if c == "1"):
-            out += found[at : at + places] * _ODD[k]
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        yield out ^ (out >> np.uint64(32))
+        yield _hashed(found, mask, n + 1)
+
+
+def short_seeds(found: np.ndarray, lengths: Iterable[int]) -> Iterator[np.ndarray]:
+    """The hashes of all runs of so many tokens; a length that is no passage only of tokens that are no more."""
+    for n in lengths:
+        if n >= LEAST_PASSAGE or n == len(found):
+            yield _hashed(found, "1" * n, len(MASKS) + n)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id and tokens, and for each place and mask of the item the hash."""
+    """item (a key), item_id, n and tokens of every distinct item with an id and a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                own = tokens(text or b"")
-                for found in seeds(own):
-                    item = batch.column(0).take(pa.array(np.full(len(found), row)))
-                    yield pa.RecordBatch.from_arrays([item, pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.view(np.int64))], names=["item_id", "at", "hash"])
+            own = [tokens(t or b"") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([*map(len, own)], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], names=["item_id", "n", "tokens"])
+
+    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("item_id IS NOT NULL")
+    found = arrow_map(texts, run, "item_id long, n int, tokens binary").where("n > 0").distinct()
+    return found.select(F.xxhash64("item_id", "tokens").alias("item"), "item_id", "n", "tokens")
 
-    return arrow_map(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")), run, "item_id long, at int, hash long")
 
+def _seeds(items: DataFrame) -> DataFrame:
+    """item, at and hash for each place and mask of the items."""
 
-def _item_tokens(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [tokens(t or b"").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["item_id", "item"])
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                own = np.frombuffer(text, np.uint64)
+                for found in seeds(own) if len(own) >= SHORT else short_seeds(own, [len(own)]):
+                    item = batch.column(0).take(pa.array(np.full(len(found), row)))
+                    yield pa.RecordBatch.from_arrays([item, pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.view(np.int64))], names=["item", "at", "hash"])
 
-    return arrow_map(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).distinct(), run, "item_id long, item binary")
+    return arrow_map(items.select("item", "tokens"), run, "item long, at int, hash long")
 
 
 def _places(hashes: np.ndarray, bits: int, k: int) -> np.ndarray:
@@ -127,9 +148,10 @@ def likely(bitmap: np.ndarray, found: np.ndarray) -> np.ndarray:
     return at
 
 
-def _blocks(documents: DataFrame, known: np.ndarray) -> DataFrame:
+def _blocks(documents: DataFrame, known: np.ndarray, short: list[int], longest: int) -> DataFrame:
     """For each block of a document with likely hits: its tokens with context, where they begin, and the hits (hash, place)."""
     shared = documents.sparkSession.sparkContext.broadcast(known)  # MOST_BITS / 8 bytes at most
+    size = max(BLOCK, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -137,18 +159,18 @@ def _blocks(documents: DataFrame, known: np.ndarray) -> DataFrame:
             rows, begins, texts, hits = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 own = tokens(text or b"")
-                place, value = [], []
-                for found in seeds(own):
+                place, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for found in chain(seeds(own), short_seeds(own, short)):
                     at = likely(bitmap, found)
                     place.append(at)
                     value.append(found[at])
                 at, found = np.concatenate(place), np.concatenate(value)
-                for block in np.unique(at // BLOCK):
-                    mine = at // BLOCK == block
-                    begin = max(0, block * BLOCK - CONTEXT)
+                for block in np.unique(at // size).tolist():
+                    mine = at // size == block
+                    begin = max(0, block * size - longest)
                     rows.append(row)
                     begins.append(begin)
-                    texts.append(own[begin : (block + 1) * BLOCK + CONTEXT].tobytes())
+                    texts.append(own[begin : (block + 1) * size + longest].tobytes())
                     hits.append([{"hash": h, "at": a} for h, a in zip(found[mine].view(np.int64).tolist(), at[mine].tolist())])
             kind = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(begins, pa.int64()), pa.array(texts, pa.binary()), pa.array(hits, kind)], names=["doc_id", "begin", "tokens", "hits"])
@@ -172,23 +194,29 @@ def spans(same: np.ndarray) -> set[tuple[int, int]]:
     return {extend(same, first, end - 1) for first, end in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist())}
 
 
+def best(same: np.ndarray, n: int) -> tuple[int, int, int] | None:
+    """Of an alignment of an item of n tokens, the leak with the most agreeing tokens, then the shortest and first: agree, start, end."""
+    found = []
+    for start, end in spans(same):
+        agree = int(same[start:end].sum())
+        if agree >= (n if n < SHORT else min(MIN_TOKENS, MIN_SHARE * n)) and agree >= MIN_SHARE * (end - start):
+            found.append((agree, start - end, -start))
+    if not found:
+        return None
+    agree, length, start = max(found)
+    return agree, -start, -start - length
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, out = [], []
-        begins, shifts, texts, items = (batch.column(k).to_pylist() for k in range(2, 6))
-        for row, (begin, shift, text, item) in enumerate(zip(begins, shifts, texts, items)):
+        for row, (shift, text, item) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 5)))):
             doc, own = np.frombuffer(text, np.uint64), np.frombuffer(item, np.uint64)
-            low, high = max(0, begin - shift), min(len(own), begin + len(doc) - shift)  # of the item, in the block's context
-            same = own[low:high] == doc[low + shift - begin : high + shift - begin]
-            found = []
-            for start, end in spans(same):
-                agree = int(same[start:end].sum())
-                if agree >= min(MIN_TOKENS, MIN_SHARE * len(own)) and agree >= MIN_SHARE * (end - start):
-                    found.append((agree, start - end, -start))
-            if found:
-                agree, length, start = max(found)
+            low = max(0, -shift)  # of the item, where the document begins
+            if found := best(own[low : low + len(doc)] == doc, len(own)):
+                agree, start, end = found
                 rows.append(row)
-                out.append((agree, -length, low - start, low - start + shift))
+                out.append((agree, end - start, low + start, low + start + shift))
         columns = [*zip(*out)] or [[]] * 4
         at = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "item_id", "agree", "length", "item_start", "doc_start"])
@@ -198,21 +226,37 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, agree, length, item_start, doc_start: for each document and item that it holds a passage of, the longest one.
 
     agree: agreeing tokens of the aligned passage; length: all of its tokens; the starts count tokens. A leak has
-    MIN_TOKENS agreeing tokens, or MIN_SHARE of a shorter item's, and MIN_SHARE of the passage's. Items shorter than the
-    shortest mask, empty and null ones match nothing. Repeated rows give one result; a null doc_id is reported as such, an item without an id is not used.
+    MIN_TOKENS agreeing tokens, or MIN_SHARE of a shorter item's, and MIN_SHARE of the passage's; an item under SHORT
+    tokens must be there word for word. Of several passages the one with the most agreeing tokens is returned, then the
+    shortest, then the first in the document, then in the item.
+
+    Empty and null texts match nothing; texts and items of any length are compared whole. Repeated rows give one result;
+    a null doc_id is reported as such, an item without an id is not used. Extra columns are not read.
     """
-    hashes = materialize(_items(benchmark).distinct())
-    blocks = materialize(_blocks(documents, _bitmap(hashes)).withColumn("block", F.xxhash64("doc_id", "begin", "tokens")))
+    items = materialize(_items(benchmark))
+    hashes = materialize(_seeds(items).distinct())
+    longest, size = items.agg(F.max("n"), F.sum(F.length("tokens"))).first()
+    short = [r["n"] for r in items.where(F.col("n") < SHORT).select("n").distinct().collect()]
+    blocks = materialize(_blocks(documents, _bitmap(hashes), sorted(short), longest or 0).withColumn("block", F.xxhash64("doc_id", "begin", "tokens")))
     hits = blocks.select("block", F.explode("hits").alias("hit")).select("block", "hit.hash", F.col("hit.at").alias("place"))
-    aligned = hits.join(hashes, "hash").select("block", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    both = aligned.join(blocks.drop("hits").dropDuplicates(["block"]), "block").join(_item_tokens(benchmark), "item_id")
-    found = arrow_map(both.select("doc_id", "item_id", "begin", "shift", "tokens", "item"), _verify, "doc_id long, item_id long, agree long, length long, item_start long, doc_start long")
-    best = F.max(F.struct("agree", (-F.col("length")).alias("l"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
-    found = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    aligned = hits.join(hashes, "hash").select("block", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    if (size or 0) <= BROADCAST_BYTES:
+        items = F.broadcast(items)
+    aligned = aligned.join(items.select("item", "n"), "item").join(blocks.drop("hits").dropDuplicates(["block"]), "block")
+    at, first = F.col("shift") - F.col("begin"), F.greatest(F.lit(0), F.col("shift") - F.col("begin"))
+    own = F.substr("tokens", (8 * first + 1).cast("int"), (8 * (at + F.col("n") - first)).cast("int"))
+    both = aligned.select("doc_id", "item", "shift", own.alias("own")).join(items.select("item", "item_id", "tokens"), "item")
+    found = arrow_map(both.select("doc_id", "item_id", "shift", "own", "tokens"), _verify, "doc_id long, item_id long, agree long, length long, item_start long, doc_start long")
+    most = F.max(F.struct("agree", (-F.col("length")).alias("l"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
+    found = found.groupBy("doc_id", "item_id").agg(most.alias("b"))
     return found.select("doc_id", "item_id", F.col("b.agree").alias("agree"), (-F.col("b.l")).alias("length"), (-F.col("b.i")).alias("item_start"), (-F.col("b.d")).alias("doc_start"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without those that hold a passage of the benchmark; rows of a null doc_id go if any of them does."""
-    bad = leaks(documents, benchmark).select(F.col("doc_id").alias("__d")).distinct()
-    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_anti")
+    """documents without those that hold a passage of the benchmark (leaks).
+
+    Rows go by doc_id: those of a repeated or null one go if any of them has a leak. Extra columns stay, whatever their names.
+    """
+    bad = spare("bad", documents)
+    gone = leaks(documents, benchmark).select(F.col("doc_id").alias(bad)).distinct()
+    return documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(bad)), "left_anti")

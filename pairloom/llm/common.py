@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..durable import arrow_column, arrow_map, materialize
 
-__all__ = ["arrow_column", "arrow_map", "components", "every", "materialize", "mixed", "spare"]
+__all__ = ["arrow_column", "arrow_map", "components", "every", "materialize", "mixed", "spare", "spread_join"]
+
+#: Parts that spread_join deals a key into; adaptive execution splits large ones further.
+SPREAD = 8
 
 
 def mixed(column: Column, salt: int) -> Column:
@@ -30,6 +33,17 @@ def every(frame: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", parts: int = SPREAD) -> DataFrame:
+    """left.join(right, keys, how), inner or left semi, where a key may hold a third of left: it is dealt by the columns by, and right repeated for each part.
+
+    right has one row a key.
+    """
+    salt = spare("salt", left, right)
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(repeated, [*keys, salt], how).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected links (a, b): long; root is one node of its component.
 

@@ -97,6 +97,7 @@ WITH lines AS (
   SELECT doc_id, k, line, sum(n) OVER w - n AS low, sum(n) OVER w AS high FROM words WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), ends AS (
   SELECT a.doc_id, a.k AS s, b.k AS e FROM own a JOIN own b ON a.doc_id = b.doc_id AND b.low < a.low + 30 AND b.high >= a.low + 30
+  UNION SELECT a.doc_id, a.k, b.k FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.low <= b.high - 30 AND a.high > b.high - 30
 ), windows AS (
   SELECT w.doc_id, s, e, string_agg(line, chr(10) ORDER BY k) AS content FROM ends w JOIN own o ON o.doc_id = w.doc_id AND o.k BETWEEN s AND e GROUP BY w.doc_id, s, e
 ), later AS (

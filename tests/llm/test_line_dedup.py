@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from conftest import SMALL
 from twin import same
 
@@ -9,44 +10,6 @@ from pairloom.llm.queries import QUERIES, SQL
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def _windows(lines, least):
-    at = [k for k, x in enumerate(lines) if x.strip(SPACES)]
-    for a in range(len(at)):
-        words = 0
-        for b in range(a, len(at)):
-            words += len(lines[at[b]].encode().split())
-            if words >= least:
-                yield at[a], at[a : b + 1]
-                break
-
-
-def _brute(docs, least):
-    first, out = {}, {}
-    for doc, text in sorted(docs.items()):
-        lines = text.split("\n")
-        gone = set()
-        for _, span in _windows(lines, least):
-            key = tuple(lines[k].strip(SPACES) for k in span)
-            if key in first:
-                gone |= set(span)
-            else:
-                first[key] = doc
-        for k, x in enumerate(lines):
-            if k - 1 in gone and not x.strip(SPACES):
-                gone.add(k)
-        out[doc] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text
-    return out
-
-
-def test_against_brute_force(spark):
-    rng = random.Random(4)
-    for seed in range(3):
-        pool = [" ".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(8)] + ["", "  ", "long " * 9]
-        docs = {k: "\n".join(rng.choices(pool, k=rng.randint(0, 14))) for k in range(25)}
-        got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"), 6)
-        assert {r.doc_id: r.text for r in got.collect()} == _brute(docs, 6)
-
-
 def test_edge_cases(spark):
     run = "\n".join(f"line {k} with some words in it" for k in range(8))
     rows = [(1, run), (2, f"before\n{run}\nafter"), (3, None), (4, ""), (1, run), (None, run), (5, "short\nshort")]
@@ -88,14 +51,35 @@ def _runs(docs, least):
 def test_runs_go_as_far_as_they_are_equal(spark):
     passage = " ".join(f"a{k}" for k in range(45)) + "\n" + " ".join(f"b{k}" for k in range(10))
     docs = {1: passage + "\nfirst end", 2: f"other start\n{passage}\nsecond end"}
-    got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"), whole=True)
+    got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == {1: docs[1], 2: "other start\nsecond end"}
 
 
-def test_whole_runs_against_brute_force(spark):
+def test_against_brute_force(spark):
     rng = random.Random(8)
-    for seed in range(3):
+    for seed in range(4):
         pool = [" ".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(8)] + ["", "  ", "long " * 9]
         docs = {k: "\n".join(rng.choices(pool, k=rng.randint(0, 14))) for k in range(25)}
-        got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"), 6, whole=True)
-        assert {r.doc_id: r.text for r in got.collect()} == _runs(docs, 6) != _brute(docs, 6)
+        got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"), 6)
+        assert {r.doc_id: r.text for r in got.collect()} == _runs(docs, 6)
+
+
+def test_equal_windows_choose_the_same_line():
+    rng = random.Random(9)
+    lines = [" ".join(rng.choices("abcdef", k=rng.randint(1, 5))).encode() for _ in range(300)]
+    at, words, hashes = line_dedup.line_hashes(b"\n".join(lines))
+    ends = line_dedup.ends_of(words, 12)
+    least = np.frombuffer(hashes, "<u8")[::2]
+    for k, (end, one) in enumerate(zip(ends.tolist(), line_dedup.chosen(hashes, ends).tolist())):
+        assert one == max(range(k, end + 1), key=lambda x: (-int(least[x]), x))
+    assert len(set(line_dedup.chosen(hashes, ends).tolist())) < 0.6 * len(ends)
+
+
+def test_very_long_text_and_ties(spark):
+    run = "\n".join(f"line {k} of a very long text with some more words" for k in range(20_000))
+    rows = [(7, f"{run}\nseven"), (7, f"{run}\nanother seven"), (8, run), (9, "x y z\n" * 30)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, runs int, own_version int, run_doc int"))
+    assert got.columns == ["doc_id", "text", "runs", "own_version", "run_doc", "removed_runs"]
+    by = {(r.doc_id, r.text) for r in got.collect() if (r.runs, r.own_version, r.run_doc) == (1, 2, 3)}
+    first, second = ({(7, rows[0][1]), (7, "another seven")}, {(7, "seven"), (7, rows[1][1])})
+    assert by in (first | {(8, ""), (9, "x y z")}, second | {(8, ""), (9, "x y z")})

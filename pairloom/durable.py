@@ -7,6 +7,7 @@ import warnings
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,16 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one, on one machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from the files.
+    """Write df as a table to the shared folder and go on from its files.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is used.
+    Unlike checkpoint(), whose result keeps the estimated size of its plan, a written table has its real size: over many
+    rounds of joins the estimates' products grow to numbers that planning does not come to an end with.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

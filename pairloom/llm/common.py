@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
     if not hooks:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    def follow(found: DataFrame, hook: DataFrame) -> DataFrame:
+    # each step is written: the planner's work would double with every step of a longer plan
+    found = hooks[0].select("node", F.col("to").alias("root"))
+    for hook in hooks[1:]:
         step = hook.select(F.col("node").alias("root"), "to")
-        return found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-
-    return reduce(follow, hooks[1:], hooks[0].select("node", F.col("to").alias("root")))
+        found = materialize(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return found

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, materialize
+from .common import arrow_map, components, materialize, spare
 
 #: Seed of the shingles' XXH64.
 SEED = 42
@@ -71,10 +71,14 @@ def _signed(mask: int) -> int:
 
 
 class Index:
-    """The levels of nodes over fingerprints sorted by bucket and Gray rank; level 0 are the fingerprints."""
+    """The levels of nodes over fingerprints (rows of 64-bit words) sorted by bucket and Gray rank; level 0 are the fingerprints.
 
-    def __init__(self, buckets: np.ndarray, values: np.ndarray):
-        self.pattern, self.mask, self.first = [values], [np.full(len(values), ~np.uint64(0))], [None]
+    With labels, pairs of one label are not sought, and nodes that have one label alone are not compared with each other.
+    """
+
+    def __init__(self, buckets: np.ndarray, values: np.ndarray, labels: np.ndarray | None = None):
+        self.pattern, self.mask, self.first = [values], [np.full_like(values, ~np.uint64(0))], [None]
+        self.labels = None if labels is None else [(labels, labels)]
         low, high, of = values, values, buckets
         while len(of) > 1 and (of[1:] == of[:-1]).any():
             begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -85,6 +89,14 @@ class Index:
             self.pattern.append(low & mask)
             self.mask.append(mask)
             self.first.append(np.r_[heads, len(place)])
+            if self.labels:
+                least, most = self.labels[-1]
+                self.labels.append((np.minimum.reduceat(least, heads), np.maximum.reduceat(most, heads)))
+
+    def _apart(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes have more labels than one between them."""
+        least, most = self.labels[level]
+        return (least[x] != most[x]) | (least[x] != most[y]) | (least[y] != most[y])
 
     def near(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of pairs within the distance, each once, in blocks."""
@@ -103,9 +115,14 @@ class Index:
             k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             cx, cy = first[x][own] + k // ny[own], first[y][own] + k % ny[own]
             half = cx <= cy if below else cx < cy
+            if self.labels:
+                half &= self._apart(below, cx, cy)
             cx, cy = cx[half], cy[half]
-            differ = (self.pattern[below][cx] ^ self.pattern[below][cy]) & self.mask[below][cx] & self.mask[below][cy]
-            keep = np.bitwise_count(differ) <= distance
+            differ = np.zeros(len(cx), np.int64)
+            for word in range(self.pattern[below].shape[1]):
+                pattern, mask = self.pattern[below][:, word], self.mask[below][:, word]
+                differ += np.bitwise_count((pattern[cx] ^ pattern[cy]) & mask[cx] & mask[cy])
+            keep = differ <= distance
             cx, cy = cx[keep], cy[keep]
             waiting += [(below, cx[k : k + PAIRS], cy[k : k + PAIRS]) for k in range(0, len(cx), PAIRS)]
 
@@ -113,7 +130,7 @@ class Index:
 def _forest(buckets: np.ndarray, values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """For each fingerprint that has a near one in its bucket, itself and the first of its group: links that span what is near."""
     label = np.arange(len(values))
-    for x, y in Index(buckets, values).near(distance):
+    for x, y in Index(buckets, values[:, None]).near(distance):
         while (label[x] != label[y]).any():
             least = np.minimum(label[x], label[y])
             np.minimum.at(label, label[x], least)
@@ -199,18 +216,18 @@ def keep_first(documents: DataFrame, distance: int = 2, words: int = 3, most: in
     """documents with one row of each component: that of the smallest doc_id.
 
     Rows equal in doc_id and text are one document, of which one row stays. Rows without a doc_id cannot be told apart
-    by it: they stay, those of equal texts once.
+    by it: they stay, those of equal texts once. Extra columns stay, whatever their names.
     """
     return keep_least(documents, near_duplicates(documents, distance, words, most))
 
 
 def keep_least(documents: DataFrame, near: DataFrame) -> DataFrame:
     """documents with one row of each component in near (doc_id, component_id of every row), as keep_first says."""
-    near = materialize(near)
-    same = lambda other: F.col("doc_id").cast("long").eqNullSafe(other["__d"])
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
+    near, own = materialize(near), spare("own", documents)
+    same = lambda other: F.col("doc_id").cast("long").eqNullSafe(other[own])
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
     kept = documents.join(gone, same(gone), "left_anti")
-    again = materialize(near.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__d")))
+    again = materialize(near.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(own)))
     if again.isEmpty():
         return kept
     return kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

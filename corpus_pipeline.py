@@ -6,14 +6,15 @@ of documents; texts and n_chars are those after line dedup from there on.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.durable import shared_folder
 from pairloom.llm import decontam, langid, line_dedup, near_copies, packing
+from pairloom.llm.common import every, spare
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +24,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later ones of repeated runs of lines are deleted from the texts; every document stays, an emptied one too."""
-    return line_dedup.dedup_lines(docs, whole=True).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    found = line_dedup.dedup_lines(docs, removed=spare("removed", docs))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*every(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard of 5-word shingles 0.8 or more) the document with the smallest doc_id stays, in one row."""
+    """Of each group of near copies (SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more) the document with the smallest doc_id stays, in one row."""
     return near_copies.keep_first(docs)
 
 
@@ -55,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents, each written as Parquet to the shared folder and read again."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -44,7 +44,7 @@ class _Hashes(dict):
     """Hash of a token, kept for the next time; starts anew when large."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[token] = xxhash.xxh64_intdigest(token)
         return value

@@ -14,24 +14,37 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, arrow_map
+from .common import arrow_column, arrow_map, materialize
 
-#: Bounds of the fit: labelled documents a language, words kept a language, languages.
-DOCUMENTS, WORDS, LANGUAGES = 3000, 40_000, 200
+#: Bounds of the fit: labelled documents a language, words and n-grams kept a language, languages.
+DOCUMENTS, WORDS, GRAMS, LANGUAGES = 3000, 40_000, 100_000, 200
+#: Numbers of a table of the model: with many languages, fewer words and n-grams of each are kept.
+CELLS = 1 << 25
 #: The longest n-grams, and what giving up a character costs (of the log frequency).
 LONGEST, PENALTY = 5, math.log(0.4)
 #: Words whose scores a worker keeps; beyond it the store starts anew.
-KEPT = 400_000
+KEPT = 100_000
 #: What documents without a letter get.
 NONE = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The lower-cased runs of letters; combining marks go on a run, numerals of any kind do not."""
+    text = text.lower()
+    found = _WORD.findall(text)
+    if text.isascii() or not found or (_MARKED.search(text) is None and "".join(found).isalpha()):
+        return found
+    return _LETTERS.findall(text)
+
+
+#: What may hold combining marks: everything but Latin, Greek and Cyrillic letters, punctuation and the like.
+_MARKED = re.compile("[\u0300-\u036f\u0483-\u1dff\u20d0-\u20ff\u2c00-\U0010ffff]")
 
 
 @dataclass
@@ -82,7 +95,8 @@ class Model:
         return self._best(total, len(found))
 
     def _one_by_one(self, found: list[str]) -> tuple[str, float]:
-        return self._best(np.sum([n * self.score(w) for w, n in Counter(found).items()], axis=0), len(found))
+        """As predict, for texts of more distinct words than are kept."""
+        return self._best(np.sum([n * self.score(w).astype(np.float32).astype(np.float64) for w, n in Counter(found).items()], axis=0), len(found))
 
     def _best(self, total: np.ndarray, n: int) -> tuple[str, float]:
         weight = np.exp((total - total.max()) / math.sqrt(n))
@@ -99,48 +113,73 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [[]] * 3, (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
 
-def train(labelled: DataFrame, documents: int = DOCUMENTS, most_words: int = WORDS, languages: int = LANGUAGES) -> Model:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: dict[tuple[str, str], int] = defaultdict(int)
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            marked = f"^{word}$"
+            for length in range(1, LONGEST + 1):
+                for at in range(len(marked) - length + 1):
+                    counts[lang, marked[at : at + length]] += n
+        rows = [(*key, n) for key, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [[]] * 3, (pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+
+
+def _most(counts: DataFrame, key: str, most: int) -> DataFrame:
+    """The most frequent keys of each language; equal ones by key."""
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))).where(F.col("rank") <= most).select("lang", key, "n")
+
+
+def _table(counts: DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The keys in order and their counts by language; as many numbers as the keys kept times the languages."""
+    found = counts.toArrow()
+    keys, row = np.unique(np.array(found.column(1).to_pylist(), object), return_inverse=True) if len(found) else ([], [])
+    out = np.zeros((len(keys), len(names)), np.float32)
+    place = {n: k for k, n in enumerate(names)}
+    out[row, [place[x] for x in found.column(0).to_pylist()]] = found.column(2).to_numpy()
+    return [*keys], out
+
+
+def train(labelled: DataFrame, documents: int = DOCUMENTS, most_words: int = WORDS, languages: int = LANGUAGES, most_grams: int = GRAMS, cells: int = CELLS) -> Model:
     """A model of the labelled rows (doc_id, text, lang).
 
     The bounds are parameters: of each of the most frequent languages, the documents whose hash of doc_id is below the
-    cut that leaves about so many, in whole, and their most frequent words; only those words and their counts reach the
-    driver. Without labelled rows the model knows no language.
+    cut that leaves about so many, in whole, and their most frequent words and n-grams, counted in Spark; only those and
+    their counts reach the driver, two tables of so many cells at most. Without labelled rows the model knows no
+    language. Null, empty and very long texts are read like others; equally frequent words go by spelling.
     """
     counts = labelled.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names, chosen = [r["lang"] for r in counts], F.lit(False)
+    names, chosen = sorted(r["lang"] for r in counts), F.lit(False)
+    if not names:
+        return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
     for r in counts:
         share = min(1.0, documents / r["count"])
         chosen |= (F.col("lang") == r["lang"]) & (F.xxhash64("doc_id") <= F.lit(max(-(1 << 63), min((1 << 63) - 1, int((share * 2 - 1) * (1 << 63))))))
     texts = labelled.where(chosen).select("lang", "text")
-    counts = arrow_map(texts, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= most_words)
-    if not names:
-        return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
-    names.sort()
-    place = {n: k for k, n in enumerate(names)}
-    seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
-    grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
-    for batch in ranked.select("lang", "word", "n").toArrow().to_batches():
-        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-            seen[word][place[lang]] += n
-            marked = f"^{word}$"
-            for length in range(1, LONGEST + 1):
-                for at in range(len(marked) - length + 1):
-                    grams[marked[at : at + length]][place[lang]] += n
-
-    def logs(table: dict[str, np.ndarray]) -> np.ndarray:
-        counts = np.array([*table.values()]).reshape(-1, len(names))
-        return np.log((counts + 0.1) / (counts.sum(0) + 0.1 * len(table))).astype(np.float32)
-
-    common = {w: v for w, v in seen.items() if v.sum() > 1}
-    by_length = [{g: v for g, v in grams.items() if len(g) == n and (n == 1 or v.sum() > 1)} for n in range(1, LONGEST + 1)]
+    most = cells // len(names) ** 2
+    found = arrow_map(texts, _counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    ranked = materialize(_most(found, "word", min(most_words, most)))
+    seen, known = _table(ranked, names)
+    grams = arrow_map(ranked, _grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    pieces, counted = _table(_most(grams.where("n > 1 OR length(gram) = 1"), "gram", min(most_grams, most)), names)
+
+    def logs(table: np.ndarray) -> np.ndarray:
+        return np.log((table + 0.1) / (table.sum(0) + 0.1 * len(table))).astype(np.float32)
+
+    common = known.sum(1) > 1
+    length = np.array([len(g) for g in pieces])
+    order = np.argsort(length, kind="stable")
     floor = np.full((1, len(names)), math.log(1e-6), np.float32)
-    rows = {g: k for k, g in enumerate(g for table in by_length for g in table)}
-    return Model(names, {w: k for k, w in enumerate(common)}, logs(common), rows, np.concatenate([*map(logs, by_length), floor]))
+    known_rows = {w: k for k, w in enumerate(w for w, c in zip(seen, common) if c)}
+    return Model(names, known_rows, logs(known[common]), {pieces[k]: n for n, k in enumerate(order)}, np.concatenate([*(logs(counted[length == n]) for n in range(1, LONGEST + 1)), floor]))
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row; texts that are null, empty or without a letter get `und` and 0."""
+    """doc_id, lang_pred, score of every row; texts that are null, empty or without a letter get `und` and 0.
+
+    Texts are read whole, however long. Of languages with equal scores the first by name is returned. Repeated rows get
+    the same result each; extra columns are not read.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the words a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +197,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """documents whose language is known: those without a letter, or with a score under least, go."""
+    """documents whose language is known: those without a letter, or with a score under least, go.
+
+    Null and empty texts go; repeated rows stay or go together; extra columns stay, whatever their names.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def sure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

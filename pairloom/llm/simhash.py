@@ -28,7 +28,7 @@ FANOUT = 8
 #: Distinct fingerprints that one block value may hold before it is dealt again.
 MOST = 20_000
 #: Pairs of nodes expanded at once.
-PAIRS = 20_000
+PAIRS = 4_000
 #: Blocks of fewer free bits than this are small enough by themselves.
 LEAST_BITS = 14
 

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -38,10 +41,62 @@ def test_edge_cases(spark):
 
 
 def test_store_of_scores_starts_anew(monkeypatch):
-    import numpy as np
-
     monkeypatch.setattr(langid, "KEPT", 4)
     model = langid.Model(["a", "b"], {"x": 0, "y": 1}, np.array([[-1, -2], [-3, -1]], np.float32), {}, np.array([[-9, -9]], np.float32))
     text = "x y " + " ".join(f"{c}q" for c in "abcdefgh")
     fresh = langid.Model(["a", "b"], model.known, model.known_logs, {}, model.gram_logs)
     assert model.predict(text) == fresh._one_by_one(langid.words(text)) and model.predict("x x") == fresh.predict("x x")
+
+
+def test_words_are_letters():
+    assert langid.words("½ ² ① 12 _") == [] and langid.words("a½b É ß x²") == ["a", "b", "é", "ß", "x"]
+    assert langid.words("हिन्दी cafés") == ["हिन्दी", "cafés"]
+    assert langid.words("Plain, words_here 3d") == ["plain", "words", "here", "d"]
+
+
+def test_model_against_brute_force(spark):
+    """Words, backoff and score as the module's text has them, read one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.collect()
+    model = langid.train(docs)
+    names = sorted({r.lang for r in rows if r.lang})
+    seen, grams = {}, [{} for _ in range(langid.LONGEST + 1)]
+    for r in rows:
+        for w in langid.words(r.text or "") if r.lang else ():
+            seen.setdefault(w, dict.fromkeys(names, 0))[r.lang] += 1
+    for w, by in seen.items():
+        for n in range(1, langid.LONGEST + 1):
+            for k in range(len(w) + 3 - n):
+                own = grams[n].setdefault(f"^{w}$"[k : k + n], dict.fromkeys(names, 0))
+                for lang, c in by.items():
+                    own[lang] += c
+    # an n-gram counts for a language if it has it twice, or is a single character
+    grams = [{g: {x: c for x, c in by.items() if c > 1 or len(g) == 1} for g, by in t.items()} for t in grams]
+    grams = [{g: by for g, by in t.items() if any(by.values())} for t in grams]
+    known = {w: by for w, by in seen.items() if sum(by.values()) > 1}
+    log = lambda by, t, lang: math.log((by.get(lang, 0) + 0.1) / (sum(x.get(lang, 0) for x in t.values()) + 0.1 * len(t)))
+
+    def score(w):
+        if w in known:
+            return [log(known[w], known, x) for x in names]
+        marked, out, given = f"^{w}$", [0.0] * len(names), 0
+        for end in range(1, len(marked) + 1):
+            for begin in range(max(0, end - langid.LONGEST), end + 1):
+                g = marked[begin:end]
+                if not g or g in grams[len(g)]:
+                    given += langid.LONGEST - len(g)
+                    out = [o + (log(grams[len(g)][g], grams[len(g)], x) if g else math.log(1e-6)) for o, x in zip(out, names)]
+                    break
+        return [(o + langid.PENALTY * given) / len(marked) for o in out]
+
+    assert model.languages == names
+    for w in [*list(known)[:60], "unseenword", "qqq", "überallx", "x", "déjàzz"]:
+        assert np.allclose(model.score(w), score(w), atol=1e-4), w
+
+
+def test_bounds_are_kept(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(docs, most_words=50, most_grams=80)
+    assert len(model.known) <= 50 * len(model.languages) and len(model.grams) <= 80 * len(model.languages)
+    few = langid.train(docs, cells=20 * 16)
+    assert len(few.known) <= 20 * len(few.languages)

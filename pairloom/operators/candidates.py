@@ -1,7 +1,7 @@
 """Candidate pairs: each heuristic's declaration as joins.
 
-Everything is equi joins on the heuristic's keys, with what else must hold in the join condition; long texts are joined
-by a digest, so they are hashed where they are read and never shuffled. Low-cardinality keys are left to adaptive
+Everything is equi joins on the heuristic's keys, with what else must hold in the join condition; long texts are replaced
+by a digest where they are read, before any join, so they are never shuffled. Low-cardinality keys are left to adaptive
 execution, which splits skewed partitions of both sides.
 """
 
@@ -22,11 +22,19 @@ SMALL = "f.instructions > 5 AND df.instructions > 5"
 _FEW_COMMON_NODES = "(least(f.nodes, df.nodes) * 100) div nullif(greatest(f.nodes, df.nodes), 0) < 50 AND f.nodes IS NOT NULL AND df.nodes IS NOT NULL"
 
 
+#: Bytes from which a text is replaced by its digest, which has as many characters: no shorter text equals a digest.
+DIGEST = 64
+
+
+def brief(side: Catalog) -> DataFrame:
+    """A side's numbered functions, with digests in place of long texts: equal where the texts are, null where they are."""
+    rows = side.numbered()
+    short = lambda c: F.when(F.octet_length(c) < DIGEST, F.col(c)).otherwise(F.sha2(F.col(c).cast("binary"), 256)).alias(c)
+    return rows.select(*[short(c) if c in LONG_TEXTS else c for c in rows.columns])
+
+
 def _key(side: str, key: str) -> Column:
-    if key.endswith("[16]"):
-        return F.substring(F.col(f"{side}.{key[:-4]}"), 1, 16)
-    column = F.col(f"{side}.{key}")
-    return F.sha2(column.cast("binary"), 256) if key in LONG_TEXTS else column
+    return F.substring(F.col(f"{side}.{key[:-4]}"), 1, 16) if key.endswith("[16]") else F.col(f"{side}.{key}")
 
 
 def _equal(*keys: str) -> Column:
@@ -77,7 +85,7 @@ def first_rows(rows: DataFrame, most: int) -> DataFrame:
 
 def candidates(pair: Pair, h: Heuristic, ignore_small: bool = False) -> DataFrame:
     """The rows of a heuristic, with the columns COLUMNS. A pair may come more than once unless the heuristic is distinct."""
-    f, df = pair.main.numbered().alias("f"), pair.diff.numbered().alias("df")
+    f, df = (brief(side).alias(a) for side, a in zip(pair.sides(), ("f", "df")))
     holds = _equal(*h.keys) & F.expr(h.where)
     if ignore_small:
         holds &= F.expr(SMALL)
@@ -89,7 +97,7 @@ def candidates(pair: Pair, h: Heuristic, ignore_small: bool = False) -> DataFram
     elif h.shape == "rare":
         (key,) = h.keys
         few = _rare(pair.main, key).union(_rare(pair.diff, key)).distinct()
-        found = pair.main.numbered().join(few, key, "left_semi").alias("f").join(df, holds)
+        found = brief(pair.main).join(few, key, "left_semi").alias("f").join(df, holds)
     elif h.shape == "constants":
         m, d = (s.table("constants").select("func_id", "constant").alias(a) for s, a in zip(pair.sides(), ("mc", "dc")))
         left = m.join(f, F.col("mc.func_id") == F.col("f.id"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialize
+from ..functions.names import is_auto
+
 MATCH = ("category", "ea1", "name1", "ea2", "name2", "description", "ratio", "nodes1", "nodes2", "id1", "id2", "seq")
 CATEGORIES = ("best", "partial", "unreliable")
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -28,31 +31,54 @@ def effective() -> Column:
     return F.when(F.col("name1") == F.col("name2"), 1.0).otherwise(F.col("ratio"))
 
 
-def best_known(matches: DataFrame, number: int) -> DataFrame:
-    """For each name of a side, the most certain ratio of its matches, and the partner of the latest of them."""
+def entries(matches: DataFrame, number: int) -> DataFrame:
+    """For each name of a side its entry: partner and ratio of the last of its matches in their order."""
     name, other = f"name{number}", f"name{3 - number}"
-    return matches.where(F.col(name).isNotNull()).groupBy(name).agg(F.max(effective()).alias(f"known{number}"), F.max_by(other, "seq").alias(f"partner{number}"))
+    entry = F.struct(F.col(other).alias("partner"), F.col("ratio").alias("stored"))
+    last = F.max_by(entry, F.struct(rank().alias("r"), (-F.col("ratio")).alias("m"), "seq", "id1", "id2"))
+    return matches.where(F.col(name).isNotNull()).groupBy(name).agg(last.alias(f"known{number}"))
+
+
+def _standing(entry1: Column, entry2: Column) -> Column:
+    """Whether the entries of both names leave a candidate standing.
+
+    A certain entry never does. Where neither name is made up, one of name1 only refuses if it is of two equal names,
+    whatever the ratios; else a higher ratio refuses.
+    """
+    named = ~F.coalesce(is_auto(F.col("name1")) | is_auto(F.col("name2")), F.lit(False))
+    certain = (entry1["stored"] == 1.0) | (entry2["stored"] == 1.0)
+    higher = F.coalesce(entry1["stored"] > F.col("ratio"), F.lit(False)) | F.coalesce(entry2["stored"] > F.col("ratio"), F.lit(False))
+    better = F.when(named & entry1.isNotNull(), entry1["partner"].eqNullSafe(F.col("name1"))).otherwise(higher)
+    return ~F.coalesce(certain, F.lit(False)) & ~better
 
 
 def take(candidates: DataFrame, matches: DataFrame | None) -> DataFrame:
-    """Of scored candidates (with seq, ratio and category by consumer), those that the matches so far and earlier candidates leave standing.
+    """Of scored candidates (with seq, ratio and category by consumer), those that the matches so far and the candidates taken before leave standing.
 
-    A candidate goes if a side is a null sub, or if a name of it is certain or more likely matched already: before, or
-    by a candidate that comes first.
+    Candidates come in the order (seq, id1, id2); one that is taken becomes the entry of both its names. Whether a
+    candidate stands thus depends on earlier ones that were taken, not on those that were refused: starting from all,
+    each round decides anew by the ones of the round before, which settles at least one more link of every chain of
+    dependent candidates, until a round changes nothing. Null subs are never taken; a null name has no entry.
     """
-    rows = candidates.where(~F.coalesce(F.col("name1").startswith("nullsub_") | F.col("name2").startswith("nullsub_"), F.lit(False)))
-    if matches is not None:
-        for number in (1, 2):
-            rows = rows.join(best_known(matches, number).drop(f"partner{number}"), f"name{number}", "left")
-            known = F.coalesce(F.col(f"known{number}"), F.lit(-1.0))
-            rows = rows.where((known < 1.0) & (known <= F.col("ratio"))).drop(f"known{number}")
+    rows = candidates.where(~F.coalesce(F.col("name1").startswith("nullsub_") | F.col("name2").startswith("nullsub_"), F.lit(False))).select(*MATCH)
     for number in (1, 2):
-        earlier = F.max(effective()).over(Window.partitionBy(f"name{number}").orderBy("seq", "id1", "id2").rowsBetween(*_BEFORE))
-        rows = rows.withColumn(f"earlier{number}", F.coalesce(earlier, F.lit(-1.0)))
-    standing = F.lit(True)
-    for number in (1, 2):
-        standing &= (F.col(f"earlier{number}") < 1.0) & (F.col(f"earlier{number}") <= F.col("ratio"))
-    return rows.where(standing).select(*MATCH)
+        kind, known = "struct<partner: string, stored: double>", f"known{number}"
+        rows = rows.withColumn(known, F.lit(None).cast(kind)) if matches is None else rows.join(entries(matches, number), f"name{number}", "left")
+        rows = rows.where(F.coalesce(F.col(f"{known}.stored") != 1.0, F.lit(True)))  # certain entries stay so
+    rows = materialize(rows.withColumn("taken", F.lit(True)))
+    stored = effective()
+    while True:
+        found = []
+        for number in (1, 2):
+            before = Window.partitionBy(f"name{number}").orderBy("seq", "id1", "id2").rowsBetween(*_BEFORE)
+            entry = F.struct(F.col(f"name{3 - number}").alias("partner"), stored.alias("stored"))
+            latest = F.last(F.when(F.col("taken"), entry), ignorenulls=True).over(before)
+            found.append(F.when(F.col(f"name{number}").isNotNull(), F.coalesce(latest, F.col(f"known{number}"))).alias(f"entry{number}"))
+        again = rows.select("*", found[0]).select("*", found[1]).withColumn("now", _standing(F.col("entry1"), F.col("entry2"))).drop("entry1", "entry2")
+        again = materialize(again)
+        if again.where("now <> taken").isEmpty():
+            return again.where("taken").select(*MATCH)
+        rows = again.drop("taken").withColumnRenamed("now", "taken")
 
 
 def cleanup(matches: DataFrame) -> DataFrame:

@@ -52,17 +52,18 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.totals(pair(spark, sf_dir))
 
 
-@query("SELECT 0::bigint AS same_md5, (SELECT count(*) FROM (SELECT id, address, size, nodes, edges FROM main_functions EXCEPT SELECT id, address, size, nodes, edges FROM diff_functions)) AS different")
+@query("SELECT (SELECT count(*) FROM main_program m JOIN diff_program d ON m.md5sum = d.md5sum) AS same_md5, (SELECT count(*) FROM (SELECT id, address, size, nodes, edges FROM main_functions EXCEPT SELECT id, address, size, nodes, edges FROM diff_functions)) AS different")
 def equal_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.equal_catalogs(pair(spark, sf_dir))
 
 
-@query("SELECT count(*) > 0 AS same FROM (VALUES ('metapc')) a(p) JOIN (VALUES ('metapc')) b(p) USING (p)")
+@query("SELECT count(*) > 0 AS same FROM main_program m JOIN diff_program d ON m.processor = d.processor")
 def same_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.same_processor(pair(spark, sf_dir))
 
 
-@query("SELECT sum(abs(coalesce(a, 0) - coalesce(b, 0)))::double AS different, sum(a)::double AS total, sum(abs(coalesce(a, 0) - coalesce(b, 0))) * 100 / sum(a)::double AS percent FROM (VALUES ('2', 3), ('3', 5), ('7', 1)) x(p, a) FULL JOIN (VALUES ('2', 3), ('5', 2), ('7', 4)) y(p, b) USING (p)")
+@query("""SELECT sum(abs(coalesce(a, 0) - coalesce(b, 0)))::double AS different, sum(a)::double AS total, sum(abs(coalesce(a, 0) - coalesce(b, 0))) * 100 / sum(a)::double AS percent
+FROM (SELECT unnest(map_keys(primes)) AS p, unnest(map_values(primes)) AS a FROM main_program) FULL JOIN (SELECT unnest(map_keys(primes)) AS p, unnest(map_values(primes)) AS b FROM diff_program) USING (p)""")
 def callgraph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.callgraph_difference(pair(spark, sf_dir))
 
@@ -140,13 +141,13 @@ def related_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.related_constants(p, stages.seeds(items(p)))
 
 
-@query(f"""{_ITEMS}, likely AS (SELECT DISTINCT id1, id2 FROM items WHERE description = 'Bytes hash' AND id1 % 4 = 0), ranges AS (
+@query(f"""{_ITEMS}, likely AS (SELECT DISTINCT id1, id2 FROM items WHERE category IN ('best', 'partial') AND ratio >= 0.8), ranges AS (
   SELECT DISTINCT mu.start_ea::double AS l1, mu.end_ea::double AS h1, du.start_ea::double AS l2, du.end_ea::double AS h2
   FROM likely JOIN main_compilation_unit_functions ml ON ml.func_id = id1 JOIN main_compilation_units mu ON mu.id = ml.cu_id JOIN diff_compilation_unit_functions dl ON dl.func_id = id2 JOIN diff_compilation_units du ON du.id = dl.cu_id)
 SELECT DISTINCT {twins.found('Related compilation unit')} FROM ranges JOIN main_functions f ON f.ea BETWEEN l1 AND h1 JOIN diff_functions df ON df.ea BETWEEN l2 AND h2""")
 def related_cu(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pair(spark, sf_dir)
-    return stages.related_units(p, items(p).where("description = 'Bytes hash' AND id1 % 4 = 0").select("id1", "id2").distinct())
+    return stages.related_units(p, stages.seeds(items(p)))
 
 
 @query(f"""{_ITEMS}, ordered AS (
@@ -229,14 +230,34 @@ def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+_ENTRY = "MAP {{{0}: {{'partner': {1}, 'stored': CASE WHEN name1 = name2 THEN 1.0 ELSE ratio END}}}}"
+_EMPTY = "MAP([]::varchar[], []::STRUCT(partner varchar, stored double)[])"
+
+
+@query(f"""{_ITEMS}, numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY seq, id1, id2) AS k FROM items WHERE NOT starts_with(name1, 'nullsub_') AND NOT starts_with(name2, 'nullsub_')
+), one_by_one AS (
+  WITH RECURSIVE step AS (
+    SELECT 0::bigint AS k, false AS stands, {_EMPTY} AS one, {_EMPTY} AS two
+    UNION ALL
+    SELECT k, stands, CASE WHEN stands THEN map_concat(one, {_ENTRY.format("name1", "name2")}) ELSE one END, CASE WHEN stands THEN map_concat(two, {_ENTRY.format("name2", "name1")}) ELSE two END
+    FROM (SELECT n.*, s.one, s.two, coalesce(one[name1].stored, 0) <> 1 AND coalesce(two[name2].stored, 0) <> 1 AND CASE WHEN NOT starts_with(name1, 'sub_') AND NOT starts_with(name2, 'sub_') AND one[name1] IS NOT NULL
+      THEN one[name1].partner <> name1 ELSE coalesce(one[name1].stored, 0) <= ratio AND coalesce(two[name2].stored, 0) <= ratio END AS stands FROM step s JOIN numbered n ON n.k = s.k + 1)
+  ) SELECT k FROM step WHERE stands
+) SELECT {twins._MATCH} FROM numbered WHERE k IN (SELECT k FROM one_by_one)""")
+def take(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.take(items(pair(spark, sf_dir)), None)
+
+
 @query(f"{_ITEMS} SELECT category, description, count(*) AS n FROM items GROUP BY ALL")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.category_counts(items(pair(spark, sf_dir)))
 
 
-@query(f"{_ITEMS} SELECT category, count(DISTINCT ea1) AS n, count(DISTINCT ea1) * 100.0::double / 1000 AS percent FROM items GROUP BY ALL")
+@query(f"{_ITEMS} SELECT category, count(DISTINCT ea1) AS n, count(DISTINCT ea1) * 100.0::double / (SELECT count(*) FROM main_functions) AS percent FROM items GROUP BY category")
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.summary(items(pair(spark, sf_dir)), 1000)
+    p = pair(spark, sf_dir)
+    return state.summary(items(p), p.main.functions.count())
 
 
 @query(f"""{_ITEMS}, ranked AS (

@@ -35,6 +35,8 @@ SIDE_TABLES = {
     "compilation_units": "id long, name string, functions long, primes_value string, pseudocode_primes string, start_ea string, end_ea string",
     "compilation_unit_functions": "id long, cu_id long, func_id long",
 }
+#: Fixed value: the version of the catalogs that this engine reads without a warning.
+VERSION = "3.4"
 REQUIRED = ("program", "version", "instructions", "constants", "compilation_units", "compilation_unit_functions")
 
 
@@ -54,3 +56,11 @@ def encoding_flags(functions: DataFrame) -> DataFrame:
     texts = [f.name for f in FUNCTIONS if isinstance(f.dataType, T.StringType) and f.name in functions.columns]
     bad = F.array_compact(F.array(*[F.when(~F.is_valid_utf8(c), F.lit(c)) for c in texts]))
     return functions.select("address", bad.alias("invalid")).where(F.size("invalid") > 0)
+
+
+def check_version(version: DataFrame) -> list[str]:
+    """What a catalog's version table says against it: no row makes the catalog unusable (ValueError), another version is a warning."""
+    found = version.select("value").take(1)
+    if not found:
+        raise ValueError("not a valid catalog: it has no version")
+    return [] if found[0]["value"] == VERSION else [f"the catalog is of version {found[0]['value']}, not {VERSION}"]

@@ -3,17 +3,21 @@
 import difflib
 import itertools
 import random
+import re
 import sqlite3
 
 import pytest
 from catalogs import catalog
+from conftest import SMALL
 
 from pairloom.functions import textdiff
 from pairloom.operators import evaluate, graph, port, stages
+from pairloom.operators.candidates import candidates
 from pairloom.plans import diff as plan
-from pairloom.plans.registry import HEURISTICS, running
+from pairloom.plans.registry import HEURISTICS, LONG_TEXTS, running
 from pairloom.schema import FUNCTIONS, SIDE_TABLES, validate
 from pairloom.sources import catalogs as stored
+from pairloom.sources.adapters import pair
 from pairloom.sources.catalogs import Pair
 from pairloom.sources.sqlite import read_sqlite
 
@@ -25,6 +29,17 @@ def test_registry():
     assert not {h.number for h in running("best", same_processor=False)} & {0, 1, 2, 3, 5, 6, 9}
 
 
+def test_long_texts_are_never_shuffled(spark):
+    found = pair(spark, SMALL)
+    for h in HEURISTICS:
+        plan = candidates(found, h)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        made = set(re.findall(r"AS (\w+#\d+)", plan))
+        for node in re.split(r"\n\n+\(\d+\) ", plan):
+            if node.startswith("Exchange"):
+                texts = {c for c in re.findall(r"(?:\[|, )(\w+#\d+)", node.split("\n")[1]) if c.split("#")[0] in LONG_TEXTS}
+                assert texts <= made, (h.name, texts - made)
+
+
 def test_replaced_names():
     a, b = "x\ncall old_one\ny\nz", "x\ncall new_one\ny\nz"
     assert textdiff.replaced_names(a, b) == [("call", "call"), ("old_one", "new_one")]

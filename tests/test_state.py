@@ -72,12 +72,48 @@ def test_against_rules(spark):
 
 
 def test_take_leaves_what_is_certain(spark):
-    known = spark.createDataFrame([("best", "1", "n1", "1", "m1", "d", 1.0, 1, 1, 1, 1, 0), ("partial", "2", "n2", "2", "m2", "d", 0.6, 1, 1, 2, 2, 1)], SCHEMA)
-    new = [("partial", "1", "n1", "3", "m3", "d", 0.9, 1, 1, 1, 3, 2), ("partial", "2", "n2", "4", "m4", "d", 0.5, 1, 1, 2, 4, 3), ("partial", "2", "n2", "5", "m5", "d", 0.7, 1, 1, 2, 5, 4), ("best", "6", "nullsub_1", "6", "m6", "d", 1.0, 1, 1, 6, 6, 5), ("best", "7", None, "7", "m7", "d", 1.0, 1, 1, 7, 7, 6)]
+    known = spark.createDataFrame([("best", "1", "n1", "1", "m1", "d", 1.0, 1, 1, 1, 1, 0), ("partial", "2", "sub_2", "2", "m2", "d", 0.6, 1, 1, 2, 2, 1)], SCHEMA)
+    new = [("partial", "1", "n1", "3", "m3", "d", 0.9, 1, 1, 1, 3, 2), ("partial", "2", "sub_2", "4", "m4", "d", 0.5, 1, 1, 2, 4, 3), ("partial", "2", "sub_2", "5", "m5", "d", 0.7, 1, 1, 2, 5, 4), ("best", "6", "nullsub_1", "6", "m6", "d", 1.0, 1, 1, 6, 6, 5), ("best", "7", None, "7", "m7", "d", 1.0, 1, 1, 7, 7, 6)]
     got = state.take(spark.createDataFrame(new, SCHEMA), known)
     assert sorted((r.id1, r.id2) for r in got.collect()) == [(2, 5), (7, 7)]
 
 
+def _taken(candidates, known):
+    """Candidate by candidate, with an entry for each name."""
+    one, two, out = {}, {}, []
+    for x in sorted(known, key=lambda x: (state.CATEGORIES.index(x[0]), -x[6], x[11], x[9], x[10])):
+        one[x[2]], two[x[4]] = (x[4], x[6]), (x[2], x[6])
+    for x in sorted(candidates, key=lambda x: (x[11], x[9], x[10])):
+        n1, n2, ratio = x[2], x[4], x[6]
+        if n1.startswith("nullsub_") or n2.startswith("nullsub_") or 1.0 in (one.get(n1, (0, 0))[1], two.get(n2, (0, 0))[1]):
+            continue
+        if not n1.startswith("sub_") and not n2.startswith("sub_") and n1 in one:
+            better = one[n1][0] == n1
+        else:
+            better = one.get(n1, (0, 0))[1] > ratio or two.get(n2, (0, 0))[1] > ratio
+        if not better:
+            out.append(x)
+            one[n1], two[n2] = (n2, 1.0 if n1 == n2 else ratio), (n1, 1.0 if n1 == n2 else ratio)
+    return out
+
+
+def test_take_against_one_by_one(spark):
+    for seed in range(5):
+        rng = random.Random(seed)
+        name = lambda k: rng.choice([f"sub_{k}", f"sub_{k}", f"f{k}", "nullsub_1"])
+        names = [[name(k) for k in range(12)] for _ in range(2)]
+        rows = []
+        for seq in range(70):
+            a, b = rng.randrange(12), rng.randrange(12)
+            ratio = rng.choice([0.5, 0.6, 0.7, 0.8, 0.9, 1.0])
+            rows.append(("best" if ratio == 1 else "partial", str(a), names[0][a], str(b), names[1][b], f"d{seq}", ratio, 1, 1, a, b, seq // 3))
+        known = [x for x in rows[:12] if "nullsub_1" not in x][:6]
+        got = state.take(spark.createDataFrame(rows[12:], SCHEMA), spark.createDataFrame(known, SCHEMA))
+        assert sorted(map(tuple, got.collect())) == sorted(_taken(rows[12:], known))
+    chain = [("partial", "1", "sub_1", "1", "sub_m1", "d", 0.9, 1, 1, 1, 1, 0), ("partial", "2", "sub_2", "1", "sub_m1", "d", 0.8, 1, 1, 2, 1, 1), ("partial", "2", "sub_2", "2", "sub_m2", "d", 0.7, 1, 1, 2, 2, 2)]
+    assert [(r.id1, r.id2) for r in state.take(spark.createDataFrame(chain, SCHEMA), None).orderBy("seq").collect()] == [(1, 1), (2, 2)]
+
+
 def test_results_are_texts_and_read_back(spark):
     rows = [("partial", "4294967296", "a", "16", "b", "d", 0.12345678, 3, 4, 1, 1, 0), ("best", "255", "c", "16", "d", "d", 1.0, 3, 4, 2, 2, 1), ("multimatch", "255", "c", "16", "d", "d", 1.0, 3, 4, 2, 2, 2)]
     written = results.result_rows(spark.createDataFrame(rows, SCHEMA))

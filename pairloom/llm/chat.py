@@ -1,10 +1,9 @@
 """Chat formatting in budgeted windows, by DataFrame functions alone.
 
-Prefix sums of turn tokens choose turn-aligned spans: a span's turns end in the same half budget of the running sum, so
-with the part of the first turn that sticks out they stay within the budget; a turn of more than half the budget is a
-span of its own. A window is a span after the retained system turn and a limited history, both repeated and therefore
-masked; the mask covers the span's assistant texts. Control strings cannot occur in formatted texts: the template's marks
-begin with characters that are escaped in texts.
+Prefix sums of turn tokens choose turn-aligned spans: a window takes turns while their prefix sum stays within the one
+before its first turn, plus the budget, less what it repeats: the retained system turn and a limited history. What is
+repeated is masked; the mask covers the span's assistant texts. Control strings cannot occur in formatted texts: the
+template's marks begin with characters that are escaped in texts.
 """
 
 from __future__ import annotations
@@ -37,38 +36,79 @@ def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), escaped(role), F.lit(CLOSE), escaped(text), F.lit(END))
 
 
+def _starts(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """key and starts: for each conversation, whether each of its turns (key, place, tokens, upto, role) opens a window.
+
+    A fold over numbers of the turns alone; its state has the prefix sum up to which the window goes, and what the next
+    window may repeat.
+    """
+    turn = F.struct("place", "tokens", "upto", (F.col("role") == "system").alias("system"))
+    # system: tokens of the first system turn so far and its place; one, two: tokens of the turns before; first: where windows begin
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("limit", "system", "at", "one", "two")], F.array().cast("array<long>").alias("first"))
+
+    def step(s, x):
+        system = F.when(s["system"] + x["tokens"] <= budget, s["system"]).otherwise(0)
+        one, two = _history(s["one"], s["two"], x["place"], s["at"], budget - system - x["tokens"], history)
+        opens = (x["place"] == 1) | (x["upto"] > s["limit"])
+        head = system + F.when(one, s["one"]).otherwise(0) + F.when(two, s["two"]).otherwise(0)
+        is_first = x["system"] & (s["system"] == 0)
+        return F.struct(
+            F.when(opens, x["upto"] - x["tokens"] + budget - head).otherwise(s["limit"]).alias("limit"),
+            F.when(is_first, x["tokens"]).otherwise(s["system"]).alias("system"),
+            F.when(is_first, x["place"]).otherwise(s["at"]).alias("at"),
+            x["tokens"].alias("one"),
+            s["one"].alias("two"),
+            F.when(opens, F.concat(s["first"], F.array(x["place"]))).otherwise(s["first"]).alias("first"),
+        )
+
+    folded = turns.groupBy("key").agg(F.array_sort(F.collect_list(turn)).alias("t")).select("key", F.size("t").cast("long").alias("n"), F.aggregate("t", zero, step, lambda s: s["first"]).alias("first"))
+    after = F.concat(F.slice("first", F.lit(2), F.greatest(F.size("first") - 1, F.lit(0))), F.array(F.col("n") + 1))
+    return folded.select("key", F.flatten(F.zip_with("first", after, lambda a, b: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), (b - a - 1).cast("int"))))).alias("starts"))
+
+
+def _history(one: Column, two: Column, place: Column, system_at: Column, room: Column, history: int) -> tuple[Column, Column]:
+    """Whether the one and the two turns before a place are repeated: not the system turn, within the history and the room left."""
+    first = (one > 0) & (place - 1 != system_at) & (one <= history) & (one <= room)
+    return first, first & (two > 0) & (place - 2 != system_at) & (one + two <= history) & (one + two <= room)
+
+
 def windows(conversations: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
     """conv_id, window (from 0), formatted, repeated (turns at its head that an earlier window has), mask (start and end of each text under the loss, in code points of formatted).
 
-    budget: tokens of a window's own turns (white-space words and MARKS a turn). history: tokens of up to two earlier
-    turns that are repeated, besides the first system turn. A null text or role is empty. Turns go by turn number (null
-    first), then role and text; repeated rows are turns of their own. Rows of a null conv_id are one conversation.
+    budget: tokens of a window (white-space words and MARKS a turn), what it repeats included; a window is over it only
+    where its first turn alone is, and takes as many turns as fit. It repeats the conversation's first system turn, and
+    up to two turns before it of history tokens at most, where they and its first turn fit.
+
+    A null text or role is empty; texts of any length stay whole. Turns go by turn number (null first), then role and
+    text; repeated rows are turns of their own. Rows of a null conv_id are one conversation. Extra columns are not read.
     """
-    half = budget // 2
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    order = Window.partitionBy("key").orderBy(F.asc_nulls_first("turn"), "role", "text")
     so_far, earlier = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = turns.withColumn("tokens", F.size(F.split("text", SPACES)) + MARKS)
-    turns = turns.withColumn("long", F.col("tokens") > half).withColumn("place", F.row_number().over(order))
-    turns = turns.withColumn("span", F.struct(F.sum(F.col("long").cast("int")).over(so_far).alias("a"), F.col("long").alias("b"), F.floor((F.sum("tokens").over(so_far) - 1) / half).alias("c")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    turns = conversations.select("conv_id", key.alias("key"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("tokens", (F.size(F.split("text", SPACES)) + MARKS).cast("long"))
+    turns = turns.withColumn("place", F.row_number().over(order).cast("long")).withColumn("upto", F.sum("tokens").over(so_far))
+    # both sides are dealt by key already, so the texts are shuffled once
+    turns = turns.join(_starts(turns, budget, history), "key").withColumn("first", F.element_at("starts", F.col("place").cast("int"))).drop("starts")
     turn = F.struct("place", "role", "text", "tokens")
-    turns = turns.withColumn("first", ~F.coalesce(F.lag("span").over(order) == F.col("span"), F.lit(False)))
     system = F.first(F.when(F.col("role") == "system", turn), ignorenulls=True).over(earlier)
     one, two = F.lag(turn, 1).over(order), F.lag(turn, 2).over(order)
     turns = turns.select("*", F.when(F.col("first"), system).alias("system"), F.when(F.col("first"), one).alias("one"), F.when(F.col("first"), two).alias("two"))
     turns = turns.withColumn("window", F.sum(F.col("first").cast("int")).over(so_far) - 1)
-    at = F.coalesce(F.col("system.place"), F.lit(0))
-    fits_one = (F.col("one.tokens") <= history) & (F.col("one.place") != at)
-    fits_two = fits_one & (F.col("one.tokens") + F.col("two.tokens") <= history) & (F.col("two.place") != at)
+    none = F.lit(0).cast("long")
+    fits = F.col("system.tokens") + F.col("tokens") <= budget
+    room = budget - F.col("tokens") - F.when(fits, F.col("system.tokens")).otherwise(none)
+    fits_one, fits_two = _history(F.coalesce("one.tokens", none), F.coalesce("two.tokens", none), F.col("place"), F.coalesce("system.place", none), room, history)
     again = lambda c, when: F.when(when, _turn(F.col(f"{c}.role"), F.col(f"{c}.text")))
-    head = F.array_compact(F.array(again("system", F.col("system").isNotNull()), again("two", fits_two), again("one", fits_one)))
+    head = F.array_compact(F.array(again("system", fits), again("two", fits_two), again("one", fits_one)))
     turns = turns.withColumn("head", F.when(F.col("first"), head).otherwise(F.array().cast("array<string>")))
     turns = turns.withColumn("before", F.array_join("head", "")).withColumn("own", _turn(F.col("role"), F.col("text")))
     turns = turns.withColumn("end", F.sum(F.char_length("before") + F.char_length("own")).over(so_far))
     begin = F.col("end") - F.char_length("own") + len(OPEN) + len(CLOSE) + F.char_length(escaped(F.col("role")))
     turns = turns.withColumn("target", F.when(F.col("role") == "assistant", F.struct(begin.alias("start"), (F.col("end") - len(END)).alias("end"))))
     turns = turns.withColumn("base", F.col("end") - F.char_length("own") - F.char_length("before"))
-    rows = turns.groupBy("conv_id", "window").agg(
+    rows = turns.groupBy("key", "window").agg(
+        F.first("conv_id").alias("conv_id"),
         F.array_sort(F.collect_list(F.struct("place", F.concat("before", "own").alias("part"), "target"))).alias("parts"),
         F.min("base").alias("base"),
         F.max(F.size("head")).alias("repeated"),

@@ -57,25 +57,28 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), a AS (
-  SELECT *, len(string_split_regex(text, '[\x20\x09-\x0D]+')) + 4 AS tokens, row_number() OVER w AS place
-  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), b AS (
-  SELECT *, {_TURN.format("role", "text")} AS chars, sum((tokens > 512)::int) OVER w AS longs, floor((sum(tokens) OVER w - 1) / 512) AS half
-  FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY place)
-), c AS (
-  SELECT *, coalesce((lag(longs) OVER w, lag(tokens > 512) OVER w, lag(half) OVER w) <> (longs, tokens > 512, half), true) AS first,
-    min(CASE WHEN role = 'system' THEN place END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sys,
-    lag(tokens) OVER w AS t1, lag(tokens, 2) OVER w AS t2, lag(chars) OVER w AS c1, lag(chars, 2) OVER w AS c2
-  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY place)
-), d AS (
-  SELECT c.*, coalesce(s.chars, 0) AS c0, coalesce(t1 <= 128 AND place - 1 <> coalesce(sys, 0), false) AS fits1,
-    coalesce(t1 + t2 <= 128 AND place - 2 <> coalesce(sys, 0), false) AS fits2
-  FROM c LEFT JOIN (SELECT conv_id AS conv, place AS at, chars FROM b) s ON s.conv = c.conv_id AND s.at = c.sys
-)
+  SELECT *, len(string_split_regex(text, '[\x20\x09-\x0D]+')) + 4 AS tokens, {_TURN.format("role", "text")} AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM rows
+), b AS MATERIALIZED (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM a
+), fold AS (
+  WITH RECURSIVE step AS (
+    SELECT conv_id, place, 1024::hugeint AS lim, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS st, CASE WHEN role = 'system' THEN chars ELSE 0 END AS sc, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS sp,
+      tokens AS t1, chars AS c1, 0::bigint AS t2, 0::bigint AS c2, 0::bigint AS head FROM b WHERE place = 1
+    UNION ALL
+    SELECT conv_id, place, CASE WHEN upto > lim THEN upto - tokens + 1024 - s - CASE WHEN h1 THEN t1 ELSE 0 END - CASE WHEN h2 THEN t2 ELSE 0 END ELSE lim END,
+      CASE WHEN role = 'system' AND st = 0 THEN tokens ELSE st END, CASE WHEN role = 'system' AND st = 0 THEN chars ELSE sc END, CASE WHEN role = 'system' AND st = 0 THEN place ELSE sp END,
+      tokens, chars, t1, c1, CASE WHEN upto > lim THEN CASE WHEN s > 0 THEN sc ELSE 0 END + CASE WHEN h1 THEN c1 ELSE 0 END + CASE WHEN h2 THEN c2 ELSE 0 END ELSE 0 END
+    FROM (
+      SELECT *, h1 AND t2 > 0 AND place - 2 <> sp AND t1 + t2 <= 128 AND s + tokens + t1 + t2 <= 1024 AS h2 FROM (
+        SELECT *, place - 1 <> sp AND t1 <= 128 AND s + tokens + t1 <= 1024 AS h1 FROM (
+          SELECT b.*, lim, st, sc, sp, t1, c1, t2, c2, CASE WHEN st + tokens <= 1024 THEN st ELSE 0 END AS s FROM step JOIN b ON b.conv_id = step.conv_id AND b.place = step.place + 1)))
+  ) SELECT conv_id, place, head FROM step
+), d AS (SELECT b.*, head FROM b JOIN fold USING (conv_id, place))
 SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(chars + CASE WHEN first THEN c0 + CASE WHEN fits1 THEN c1 ELSE 0 END + CASE WHEN fits1 AND fits2 THEN c2 ELSE 0 END ELSE 0 END)::bigint AS formatted_chars
+  sum(chars + head)::bigint AS formatted_chars
 FROM d GROUP BY conv_id
 """
 

@@ -150,23 +150,26 @@ WITH texts AS (
 ), repeated AS (
   SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS place FROM twice) GROUP BY doc_id
 ), dup AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
 ), m AS (
   SELECT t.doc_id, t.source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
-    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(d.lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM texts t LEFT JOIN repeated r USING (doc_id) LEFT JOIN dup d USING (doc_id)
 ), f AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
-), hosts AS (
-  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS failed FROM f GROUP BY source
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, word_chars < 3 * n_words OR word_chars > 10 * n_words AS word_length, n_words > 0 AND 100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines FROM m
+), rates AS (
+  SELECT source, n, unnest([0, 1, 2, 3]) AS rule, unnest(failed) AS failed FROM (SELECT source, count(*) AS n, [sum(base_failed::int), sum(word_length::int), sum(symbols::int), sum(dup_lines::int)] AS failed FROM f GROUP BY source)
 ), moments AS (
-  SELECT least(greatest(avg(failed / n), 1e-6), 1 - 1e-6) AS m, coalesce(var_samp(failed / n), 0) AS v, avg(1 / n) AS i, avg(n) AS size FROM hosts
+  SELECT rule, least(greatest(raw, 1e-6), 1 - 1e-6) AS m, squares - raw * raw AS v, i, size FROM (
+    SELECT rule, sum(w * (failed / n)) / sum(w) AS raw, sum(w * (failed / n) * (failed / n)) / sum(w) AS squares, sum(w / n) / sum(w) AS i, sum(w * n) / sum(w) AS size FROM (SELECT *, least(n, 50) AS w FROM rates) GROUP BY rule)
 ), prior AS (
-  SELECT m, CASE WHEN v - m * (1 - m) * i > 0 AND m * (1 - m) / (v - m * (1 - m) * i) - 1 > 0 THEN m * (1 - m) / (v - m * (1 - m) * i) - 1 ELSE size END AS w FROM moments
+  SELECT rule, m, CASE WHEN v - m * (1 - m) * i > 0 AND m * (1 - m) / (v - m * (1 - m) * i) - 1 > 0 THEN m * (1 - m) / (v - m * (1 - m) * i) - 1 ELSE size END AS w FROM moments
+), verdicts AS (
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + w + 1)) > m + 2 * sqrt(m * (1 - m) / (w + 1))) AS condemned FROM (SELECT *, (failed + m * w) / (n + w) AS rate FROM rates JOIN prior USING (rule)) GROUP BY source
 )
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
-  n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND (failed + m * w) / (hosts.n + w) <= 0.5 AS kept
-FROM f JOIN hosts ON hosts.source IS NOT DISTINCT FROM f.source CROSS JOIN prior
+  n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND NOT condemned AS kept
+FROM f JOIN verdicts ON verdicts.source IS NOT DISTINCT FROM f.source
 """
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -62,3 +64,69 @@ def test_context_values(spark):
     assert got[2] == [("guess", "Tr0ub4dor&3xQz!9k")] and got[3] == [("guess", "eyJhbGciOiJIUzI1NiJ9.Zx81kQ")]
     assert got[4] == got[5] == got[6] == got[7] == []
     assert secret_scan.scan(docs.where("false")).count() == 0
+    assert secret_scan.scan(docs.union(docs).where("doc_id = 3")).count() == 2
+
+
+def test_words_in_prose_are_no_secrets():
+    for value in "elephantgarden butterflies mississippi businessmanager performance international Elephant2024 qwqwqqwqwqqwqwqqwqwqqwqwq".split():
+        assert secret_scan.spans(f"password: {value}") == [] or {k for _, k, _ in secret_scan.spans(f"password: {value}")} == {0}, value
+        assert secret_scan.guess_cost(value) < secret_scan.LEAST_COST, value
+    assert secret_scan.guess_cost("qwqwq" * 100) < secret_scan.LEAST_COST and secret_scan.guess_cost("horsebattery" * 3) < 20
+    assert [x[1] for x in secret_scan.spans("password: контрольный")] == [3] and secret_scan.spans("pwd: ключ") == []
+
+
+def _segment(value, a, b):
+    """The least cost of value[a:b] as one segment, or None."""
+    part, out = value[a:b], []
+    lower, n = part.lower(), b - a
+    plain = lower.translate(secret_scan._LEET)
+    if n == 1:
+        out.append(secret_scan._alphabet(part))
+    for form in (lower, plain):
+        if n > 1 and form in secret_scan.ranks():
+            changed = sum(x != y for x, y in zip(lower, form))
+            out.append(math.log10(secret_scan.ranks()[form] + 1) + (sum(c.isupper() for c in part) + changed) * math.log10(2))
+    if part[0].isdigit():
+        # a date is what its pattern takes from there on
+        out += [math.log10(36_500 if n > 4 else 130) for d in secret_scan._DATES if (m := d.match(value, a)) and m.end() == b]
+    for size in range(1, n // 2 + 1):
+        if n >= 3 and all(part[k] == part[k + size] for k in range(n - size)):
+            out.append(sum(map(secret_scan._alphabet, part[:size])) + math.log10(n / size + 1))
+    ways = [secret_scan._WAY.get(p, 0) for p in zip(lower, lower[1:])]
+    if n >= 3 and all(ways):
+        out.append(math.log10(50 * n) + sum(x != y for x, y in zip(ways, ways[1:])) * math.log10(2))
+    return min(out, default=None)
+
+
+def _cheapest(value):
+    """Over every way to cut a value."""
+    if not value:
+        return 0.0
+    costs = []
+    for cuts in itertools.product((False, True), repeat=len(value) - 1):
+        at = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(value)]
+        parts = [_segment(value, a, b) for a, b in zip(at, at[1:])]
+        if None not in parts:
+            costs.append(sum(parts))
+    return min(costs)
+
+
+def test_cost_against_all_segmentations():
+    rng = random.Random(4)
+    for _ in range(250):
+        value = "".join(rng.choice(["a", "ab", "pass", "p@ss", "cat", "19", "2024", "0131", "qwe", "ewq", "Zz", "#", "é"]) for _ in range(rng.randint(1, 4)))[:10]
+        assert abs(secret_scan.guess_cost(value) - _cheapest(value)) < 1e-9, value
+
+
+def test_repeats_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        value = "".join(rng.choices("ab", k=rng.randint(0, 14)))
+        wanted = set()
+        for size in range(1, len(value) // 2 + 1):
+            for a in range(len(value)):
+                for b in range(a + 2 * size, len(value) + 1):
+                    repeats = lambda x, y, p: 0 <= x and y <= len(value) and all(value[k] == value[k + p] for k in range(x, y - p))
+                    if repeats(a, b, size) and not repeats(a - 1, b, size) and not repeats(a, b + 1, size) and not any(size % p == 0 and repeats(a, b, p) for p in range(1, size)):
+                        wanted.add((a, b, size))
+        assert set(secret_scan.repeats(value)) == wanted

@@ -1,17 +1,18 @@
 """HTML extraction with a site style tree.
 
-The pages of a host are merged into one tree of styles: a node is a path of tags with their classes and ids. Each node
-gets the importance of its contents (low if the same text is on most pages: one minus the mean entropy of its texts over
-the pages) and of its presentation (the entropy of how many blocks pages have there), and branches of low importance are
-removed from each page. Pages that say the same count once, so copies do not make an article look like a template. What
-the markup itself says (navigation, footers, adverts, forms, comments) is removed on any page, however few its host has.
+The DOMs of a host's pages are merged: a node of its tree are the elements with the same path of tags, classes and ids, of
+all pages. A node's presentation has the entropy of what child elements pages show there, and its content is important as
+far as its texts differ between the pages that have it (one minus the mean entropy, over those pages, of the texts that a
+page shows there). Bottom-up, a node's composite importance is that of its presentation and of all contents below it, each by how often it occurs.
+Whole branches go from each page: those in which nothing is important, and, outside the article, those with hardly
+anything important. Pages that say the same count once, so copies do not make an article look like a template. What the
+markup itself says (navigation, footers, adverts, forms, comments) is removed on any page, however few its host has.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,14 @@ from .common import arrow_map, materialize
 
 #: Weight of the contents' importance in a node's, the rest being its presentation's.
 CONTENT = 0.9
-#: Nodes under this importance go; inside an article only nodes with a class or id of their own, under the second.
+#: Branches whose most important content leaves them under this go; inside an article only those with a class or id of their own, under the second.
 LEAST, LEAST_INSIDE = 0.35, 0.1
-#: Distinct pages that a host must have for its style tree to count.
+#: Branches outside the article whose composite importance is under this go, with the little in them that differs.
+LEAST_BRANCH = 0.15
+#: Distinct pages that a node must be on to be judged.
 LEAST_PAGES = 4
+#: Levels of the tree; what is deeper counts as its ancestor there.
+LEVELS = 64
 #: Low-importance nodes of all hosts up to which they are broadcast; more are joined by a shuffle on the host.
 BROADCAST_NODES = 100_000
 
@@ -60,6 +65,10 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -69,18 +78,34 @@ class Node:
     #: Inside an article or main element; whether a node from there on has a class or id.
     article: bool
     marked: bool
+    level: int = 0
+    #: The block element around it.
+    above: Node | None = None
+    id: int = 0
+
+    def state(self) -> int:
+        return 4 * (self.outside > 0) + 2 * self.article + self.marked
+
+    def up(self) -> list[int]:
+        """The ids of the node and the block elements around it."""
+        ids, at = [self.id], self
+        while (at := at.above) is not None:
+            if at.id != ids[-1]:
+                ids.append(at.id)
+        return ids
 
 
 @dataclass(slots=True)
 class Block:
-    path: str
+    node: Node
     text: str
-    outside: bool
-    article: bool
-    marked: bool
 
+    @property
+    def outside(self) -> bool:
+        return self.node.outside > 0
 
-def _open(tag: str, attributes: str, parent: Node) -> Node:
+
+def _open(tag: str, attributes: str, parent: Node, block: Node) -> Node:
     names, own, hidden, role = "", 0, False, ""
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
@@ -110,13 +135,25 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
     above = parent.outside
     if above == 1 and (tag in ("article", "main") or role == "main"):
         above = 0
-    path = f"{parent.path}/{tag}" + (f".{' '.join(sorted(names.split()))}" if names else "")
-    return Node(tag, path, max(above, own), article, bool(parent.article and (parent.marked or names.strip())))
+    path = parent.path
+    if parent.level < LEVELS:
+        path += f"/{tag}" + (f".{' '.join(sorted(names.split()))}" if names else "")
+    node = Node(tag, path, max(above, own), article, bool(parent.article and (parent.marked or names.strip())), parent.level + 1, block)
+    node.id = _hash(f"{path}|{node.state()}")
+    return node
+
 
+def blocks(page: str, shown: dict[int, list[int]] | None = None) -> list[Block]:
+    """The blocks of text of a page, in order; markup, scripts, styles and comments are gone, references decoded.
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page, in order; markup, scripts, styles and comments are gone, references decoded."""
+    shown gets, for each node, what its elements show in order, repeats once: child elements by id, texts as 0.
+    """
     out: list[Block] = []
+
+    def show(at: Node, what: int) -> None:
+        if shown is not None and (not (own := shown.setdefault(at.id, [])) or own[-1] != what):
+            own.append(what)
+
     stack = [Node("", "", 0, False, False)]
     parts: list[str] = []
     home = stack[0]
@@ -126,7 +163,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(home.path, text, home.outside > 0, home.article, home.marked))
+                out.append(Block(home, text))
+                show(home, 0)
 
     def enclosing() -> Node:
         return next(n for n in reversed(stack) if n.tag not in INLINE)
@@ -143,7 +181,8 @@ def blocks(page: str) -> list[Block]:
             flush()
             own = " ".join(html.unescape(text).split())
             if own:
-                out.append(Block(stack[-1].path, own, True, stack[-1].article, stack[-1].marked))
+                out.append(Block(stack[-1], own))
+                show(stack[-1], 0)
 
     def close(at: int) -> None:
         if any(n.tag not in INLINE for n in stack[at:]):
@@ -185,72 +224,88 @@ def blocks(page: str) -> list[Block]:
                 elif stack[k].tag in HOLDERS:
                     break
         if tag not in VOID:
-            stack.append(_open(tag, m[3], stack[-1]))
+            around = enclosing()
+            stack.append(_open(tag, m[3], stack[-1], around))
+            if tag not in INLINE:
+                show(around, stack[-1].id)
     add(page[at:])
     flush()
     return out
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
 def host(url: Column) -> Column:
     """The lower-cased host of a URL; empty if there is none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path (a hash), pages (distinct pages of the host), content, presentation, importance, inside, outside: the nodes of each host's tree.
+    """The nodes of each host's tree that have text in them: host, node (an id), up (the ids of itself and what is around it), pages (distinct ones that have it), content (null without texts of its own), presentation, below (the contents' importance in it), most (of the most important one), importance, outside, inside (an article), marked and holds (something of an article).
 
-    The counts are aggregated by (host, node, text) and again by (host, node): a host of any size is never gathered.
+    The counts are aggregated by (host, node, text) and again by (host, node), and contents once for each node around
+    them: a host of any size is never gathered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for of, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = blocks(page or "")
+                shown: dict[int, list[int]] = {}
+                found = blocks(page or "", shown)
                 says = _hash("\n".join(b.text for b in found if not b.outside))
-                kinds = {(b.path, b.article, b.marked, b.outside) for b in found}
-                path = {p: _hash(p) for p, *_ in kinds}
-                counts = Counter(b.path for b in found)
-                state = {p: (4 * o + 2 * a + k) for p, a, k, o in kinds}
-                rows += {(of, path[b.path], state[b.path], 0, _hash(b.text), says) for b in found}
-                rows += [(of, path[p], state[p], 1, n, says) for p, n in counts.items()]
-                rows.append((of, 0, 0, 2, 0, says))
+                rows += {(of, b.node.id, None, 0, _hash(b.text), says) for b in found}
+                seen = set()
+                for b in found:
+                    at, ids = b.node, None
+                    while at is not None and at.id not in seen:
+                        seen.add(at.id)
+                        ids = at.up()
+                        rows.append((of, at.id, (at.state(), ids), 1, _hash(str(shown.get(at.id))), says))
+                        at = at.above
             columns = [*zip(*rows)] or [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "path", "state", "kind", "value", "says"])
-
-    rows = arrow_map(pages.select(host(F.col("url")).alias("host"), "html").where("host <> ''"), run, "host string, path long, state int, kind int, value long, says long")
-    k = rows.distinct().groupBy("host", "path", "state", "kind", "value").agg(F.count("*").alias("k"))
-    log, own = F.ln("k"), F.col("kind")
-    nodes = k.groupBy("host", "path", "state").agg(
-        F.avg(F.when(own == 0, log)).alias("texts"),
-        F.sum(F.when(own == 1, F.col("k"))).alias("on"),
-        F.sum(F.when(own == 1, F.col("k") * log)).alias("styles"),
-        F.max(F.when(own == 2, F.col("k"))).alias("pages"),
+            state, up = (pa.array([x and x[k] for x in columns[2]], t) for k, t in ((0, pa.int32()), (1, pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), state, up, pa.array(columns[3], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[4:])], names=["host", "node", "state", "up", "kind", "value", "says"])
+
+    schema = "host string, node long, state int, up array<long>, kind int, value long, says long"
+    rows = arrow_map(pages.select(host(F.col("url")).alias("host"), "html").where("host <> ''"), run, schema)
+    k = rows.dropDuplicates(["host", "node", "kind", "value", "says"]).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k"), F.first("state").alias("state"), F.first("up").alias("up"))
+    log, is_text = F.ln("k"), F.col("kind") == 0
+    nodes = k.groupBy("host", "node").agg(
+        (F.sum(F.when(is_text, F.col("k") * log)) / F.sum(F.when(is_text, F.col("k")))).alias("texts"),
+        F.sum(F.when(is_text, F.col("k"))).alias("times"),
+        F.sum(F.when(~is_text, F.col("k"))).alias("pages"),
+        F.sum(F.when(~is_text, F.col("k") * log)).alias("styles"),
+        F.first("state", ignorenulls=True).alias("state"),
+        F.first("up", ignorenulls=True).alias("up"),
     )
-    nodes = materialize(nodes)
-    sizes = nodes.where("pages IS NOT NULL").select("host", "pages")
     most = F.ln(F.greatest(F.col("pages"), F.lit(2)))
-    content = 1 - F.col("texts") / most
-    presentation = (F.ln("on") - F.col("styles") / F.col("on")) / most
-    tree = nodes.where("pages IS NULL").drop("pages").join(sizes, "host")
-    tree = tree.select("host", "path", "pages", content.alias("content"), presentation.alias("presentation"), F.col("state").bitwiseAND(4).cast("boolean").alias("outside"), F.col("state").bitwiseAND(2).cast("boolean").alias("inside"), F.col("state").bitwiseAND(1).cast("boolean").alias("marked"))
-    return tree.withColumn("importance", CONTENT * F.col("content") + (1 - CONTENT) * F.col("presentation"))
+    flag = lambda bit: (F.col("state").bitwiseAND(bit) > 0)
+    nodes = nodes.select("host", "node", "up", "pages", "times", (1 - F.col("texts") / most).alias("content"), ((F.ln("pages") - F.col("styles") / F.col("pages")) / most).alias("presentation"), flag(4).alias("outside"), flag(2).alias("inside"), flag(1).alias("marked"))
+    nodes = materialize(nodes)
+    leaves = nodes.where("content IS NOT NULL").select("host", F.explode("up").alias("node"), "content", "times", F.col("inside").alias("article"))
+    contents = leaves.groupBy("host", "node").agg((F.sum(F.col("times") * F.col("content")) / F.sum("times")).alias("below"), F.max("content").alias("most"), F.bool_or("article").alias("holds"))
+    return nodes.join(contents, ["host", "node"]).withColumn("importance", CONTENT * F.col("below") + (1 - CONTENT) * F.col("presentation"))
+
+
+def noisy_branches(tree: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and node of the branches to remove, without those inside others."""
+    highest = CONTENT * F.col("most") + (1 - CONTENT) * F.col("presentation")
+    empty = F.when(F.col("inside"), F.col("marked") & (highest < LEAST_INSIDE)).otherwise(~F.col("holds") & (highest < LEAST))
+    nearly = ~F.col("holds") & (F.col("importance") < LEAST_BRANCH)
+    noisy = materialize(tree.where((F.col("pages") >= least_pages) & ~F.col("outside") & (empty | nearly)).select("host", "node", "up"))
+    around = noisy.select("host", "node", F.explode(F.slice("up", 2, LEVELS + 2)).alias("other"))
+    inner = around.join(noisy.select("host", F.col("node").alias("other")), ["host", "other"], "left_semi").select("host", "node").distinct()
+    return noisy.select("host", "node").join(inner, ["host", "node"], "left_anti")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row: the blocks of the article in page order, one a line.
 
-    A null or empty page has an empty text; a page without a host is judged by its markup alone. Repeated rows count as
-    one page of their host and each get their text.
+    A null or empty page has an empty text; a page without a host is judged by its markup alone, and so are nodes that
+    fewer than least_pages distinct pages of their host have. Repeated rows count as one page of their host and each get
+    their text. Pages of any length are read whole; extra columns are not read.
     """
-    low = F.when(F.col("inside"), F.col("marked") & (F.col("importance") < LEAST_INSIDE)).otherwise(F.col("importance") < LEAST)
-    noise = style_tree(pages).where((F.col("pages") >= least_pages) & ~F.col("outside") & low)
-    verdicts = materialize(noise.groupBy("host").agg(F.collect_set("path").alias("noise")))
+    noise = noisy_branches(style_tree(pages), least_pages)
+    verdicts = materialize(noise.groupBy("host").agg(F.collect_set("node").alias("noise")))
     if (verdicts.agg(F.sum(F.size("noise") + 1)).first()[0] or 0) <= BROADCAST_NODES:
         verdicts = F.broadcast(verdicts)
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(verdicts, "host", "left").select("page_id", "url", "html", "noise")
@@ -260,7 +315,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
             texts = []
             for page, noise in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 gone = frozenset(noise or ())
-                texts.append("\n".join(b.text for b in blocks(page or "") if not b.outside and not (gone and _hash(b.path) in gone)))
+                texts.append("\n".join(b.text for b in blocks(page or "") if not b.outside and (not gone or gone.isdisjoint(b.node.up()))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return arrow_map(rows.select(F.col("page_id").cast("long"), "url", "html", "noise"), run, "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,5 @@
 import html
+import math
 import random
 
 from conftest import SMALL
@@ -53,10 +54,68 @@ def test_site_style_tree(spark):
     assert {r.page_id: r.text for r in got} == wanted and len(got) == len(rows)
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_extract.extract(frame.where("false")).count() == 0
-    tree = {(r.pages, r.importance < html_extract.LEAST) for r in html_extract.style_tree(frame).where("host = 'news.example.org'").collect()}
+    tree = {(r.pages, r.content < html_extract.LEAST) for r in html_extract.style_tree(frame).where("host = 'news.example.org' AND content IS NOT NULL").collect()}
     assert tree == {(40, True), (40, False)}
 
 
+def _neutral(rng, k):
+    """A page whose classes say nothing: what is not the article only the site's other pages tell."""
+    word = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    paragraphs = [word(20) for _ in range(rng.randint(1, 4))]
+    links = "".join(f"<li>Topic {x}</li>" for x in range(8))
+    side = f"<div class='c4'><p>Latest</p>{'<p>One of the same old lines</p>' * 3}<ul>{links}</ul><p>No. {k}</p></div>"
+    page = f"<body><div class='c1'><div class='c2'>Our site</div><ul>{links}</ul></div>{side}<div class='c3'><h2>{word(3)}</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div class='c5'>All rights with us</div></body>"
+    return page, [p for p in page.split("<h2>")[1].split("</h2>")[:1]] + paragraphs
+
+
+def test_neutral_markup_goes_by_the_tree(spark):
+    rng = random.Random(7)
+    made = [_neutral(rng, k) for k in range(250)]
+    frame = spark.createDataFrame([(k, f"http://h{k % 5}.example.org/{k}", page) for k, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    wanted = {k: "\n".join(text) for k, (_, text) in enumerate(made)}
+    assert {r.page_id: r.text for r in html_extract.extract(frame).collect()} == wanted
+    off = {r.page_id: r.text for r in html_extract.extract(frame, 10**9).collect()}
+    assert all("Topic 3" in off[k] and wanted[k] in off[k] for k in wanted)
+
+
+def test_importances_against_plain_formulas(spark):
+    rng = random.Random(8)
+    pages = [_neutral(rng, k)[0] for k in range(12)]
+    frame = spark.createDataFrame([(k, "http://x.example.org", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    texts, styles, around = {}, {}, {}
+    for page in pages:
+        shown = {}
+        found = html_extract.blocks(page, shown)
+        for node, text in {(b.node.id, b.text) for b in found}:
+            texts.setdefault(node, {}).setdefault(text, 0)
+            texts[node][text] += 1
+        for node in {x for b in found for x in b.node.up()}:
+            style = tuple(shown[node])
+            styles.setdefault(node, {}).setdefault(style, 0)
+            styles[node][style] += 1
+        for b in found:
+            around[b.node.id] = b.node.up()
+    entropy = lambda counts, base: -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(base)
+    pages_of = {n: sum(s.values()) for n, s in styles.items()}
+    content = {n: 1 - sum(k * entropy([1] * k, max(2, pages_of[n])) for k in t.values()) / sum(t.values()) for n, t in texts.items()}
+    got = {r.node: r for r in html_extract.style_tree(frame).collect()}
+    assert set(got) == set(styles)
+    for n, r in got.items():
+        inside = [x for x in texts if n in around[x]]
+        below = sum(content[x] * sum(texts[x].values()) for x in inside) / sum(sum(texts[x].values()) for x in inside)
+        presentation = entropy([*styles[n].values()], max(2, pages_of[n]))
+        assert abs(r.below - below) < 1e-9 and abs(r.presentation - presentation) < 1e-9 and abs(r.most - max(content[x] for x in inside)) < 1e-9
+        assert abs(r.importance - 0.9 * below - 0.1 * presentation) < 1e-9 and r.pages == pages_of[n]
+
+
+def test_deep_and_very_long_pages(spark):
+    deep = "<div>" * 3000 + "down here" + "</div>" * 3000
+    long = "<article>" + "<p>word</p>" * 100_000 + "</article>"
+    rows = [(k, "http://a.example.org", f"<p class='x'>n{k}</p>{p}", "t") for k, p in enumerate([deep, long, deep, long, deep])]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, node string")).collect()}
+    assert got[0] == "n0\ndown here" and got[1] == "n1\n" + "\n".join(["word"] * 100_000) and len(got) == 5
+
+
 def test_shuffle_join_of_verdicts(spark, monkeypatch):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     wanted = html_extract.extract(pages).collect()

@@ -3,11 +3,13 @@
 Texts with a similarity of 0.8 differ in about 15 of 100 SimHash bits, far beyond the few bits that blocks of a short
 fingerprint can vouch for. So fingerprints have 128 bits, distinct ones are dealt by several samples of their bits (as
 many samples, of as many bits, as the number of texts and the wanted recall ask for), and in each bucket the index finds
-those within LIMIT bits. Whether a candidate pair is a near copy its sets of shingles say, so nothing else is linked.
+those within LIMIT bits. Whether a candidate pair is a near copy its sets of shingles say, so nothing else is linked;
+before texts are read again, a bitmap of each set bounds what two sets can share.
 
 A group of many near copies meets in most buckets. Its members are compared with a few leaders first: the ones closest to
-the bits that most of the bucket has, then drawn ones. What is linked by then is one component, and only pairs of
-different components are sought in full, so links grow with the group and not with its square. Buckets over MOST rows are
+the bits that most of the bucket has, then ones drawn anew for each round, until a round links hardly any more. What is
+linked by then is one component, and only pairs of different components are sought in full, so links grow with the group
+and not with its square. Buckets over MOST rows are
 dealt in parts; in the end only rows outside the largest component of such a bucket go to all of its parts.
 """
 
@@ -35,8 +37,10 @@ BITS, DIFFER = 128, math.acos(1.6 / 1.8) / math.pi
 RECALL, LIMIT = 0.97, 33
 #: Distinct sets a bucket has on average; rows of a bucket that are dealt in parts; one of so many sets is read to find such buckets.
 BUCKET, MOST, SAMPLED = 1024, 20_000, 16
-#: Leaders of a bucket.
-LEADERS = 2
+#: Leaders of a bucket; rounds of drawn ones end with one that links less than this share of the sets that have a possible partner.
+LEADERS, LEAST_LINKED = 2, 0.02
+#: Bytes of a set's bitmap.
+BITMAP = 32
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -64,6 +68,11 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(packed[:8], "big"), int.from_bytes(packed[8:], "big")
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each value of the lowest byte: whether an odd number of hashes has it. Sets differ in as many hashes as bits at least."""
+    return np.packbits(np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=8 * BITMAP) & 1).tobytes()
+
+
 def alike(both, n1, n2):
     """Whether sets of n1 and n2 with so many in common have a Jaccard similarity of 0.8 or more."""
     return 9 * both >= 4 * (n1 + n2)
@@ -99,16 +108,16 @@ def _identity(hashes: np.ndarray) -> int:
 
 
 def _sets(documents: DataFrame) -> DataFrame:
-    """doc_id, row, set (its identity), n, f0 and f1 of every row."""
+    """doc_id, row, set (its identity), n, f0, f1 and odd (its bitmap) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t) for t in batch.column(2).to_pylist()]
             prints = [*map(fingerprint, own)]
-            columns = [_signed([*map(_identity, own)]), pa.array([*map(len, own)], pa.int32()), *(_signed([p[k] for p in prints]) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "set", "n", "f0", "f1"])
+            columns = [_signed([*map(_identity, own)]), pa.array([*map(len, own)], pa.int32()), *(_signed([p[k] for p in prints]) for k in (0, 1)), pa.array([*map(parity, own)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "set", "n", "f0", "f1", "odd"])
 
-    return arrow_map(_texts(documents), run, "doc_id long, row long, set long, n int, f0 long, f1 long")
+    return arrow_map(_texts(documents), run, "doc_id long, row long, set long, n int, f0 long, f1 long, odd binary")
 
 
 def _hashes(documents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -155,6 +164,7 @@ class _Rows:
         self.set, n, f0, f1 = (rows.column(name).to_numpy()[self.order] for name in ("set", "n", "f0", "f1"))
         self.n = n.astype(np.int64)
         self.prints = np.stack([f0, f1], 1).view(np.uint64)
+        self.odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(len(rows), -1)[self.order] if "odd" in rows.column_names else None
         self.root = rows.column("root").to_numpy()[self.order] if "root" in rows.column_names else self.set
         self.heads = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]])
         self.sizes = np.diff(np.r_[self.heads, len(self.bucket)])
@@ -162,12 +172,17 @@ class _Rows:
     def hold(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Places of the pairs within the limits."""
         fit = np.flatnonzero((5 * np.minimum(self.n[i], self.n[j]) >= 4 * np.maximum(self.n[i], self.n[j])) & (self.root[i] != self.root[j]))
-        return fit[np.bitwise_count(self.prints[i[fit]] ^ self.prints[j[fit]]).sum(1) <= LIMIT]
-
-    def led(self, drawn: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The rows of each bucket with its leaders."""
+        fit = fit[np.bitwise_count(self.prints[i[fit]] ^ self.prints[j[fit]]).sum(1) <= LIMIT]
+        if self.odd is None:
+            return fit
+        n1, n2 = self.n[i[fit]], self.n[j[fit]]
+        differ = np.bitwise_count(self.odd[i[fit]] ^ self.odd[j[fit]]).sum(1, dtype=np.int64)
+        return fit[alike((n1 + n2 - differ) // 2, n1, n2)]
+
+    def led(self, drawn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of each bucket with its leaders: 0: those closest to most of the bucket, else a number by which to draw them."""
         if drawn:
-            first = _mixed((self.set.view(np.uint64) ^ self.bucket.view(np.uint64)) * _MIX[1])
+            first = _mixed((self.set.view(np.uint64) ^ self.bucket.view(np.uint64)) * _MIX[1] + np.uint64(drawn))
         else:
             bits = np.unpackbits(self.prints.astype(">u8").view(np.uint8).reshape(-1, 16), axis=1)
             most = 2 * np.add.reduceat(bits, self.heads, axis=0, dtype=np.int32) > self.sizes[:, None]
@@ -217,7 +232,7 @@ def _possible(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     of = _Rows(rows)
     keep = np.zeros(len(rows), bool)
-    for i, j in of.led(False):
+    for i, j in of.led(0):
         keep[i] = keep[j] = True
     labels = np.where(keep, -1, np.arange(len(rows)))
     for i, j in of.near(labels):
@@ -230,7 +245,7 @@ def _pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _leading(drawn: bool) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+def _leading(drawn: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         of = _Rows(rows)
         for i, j in of.led(drawn):
@@ -271,7 +286,7 @@ def _bucketed(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatc
 
 
 def links(documents: DataFrame, sets: DataFrame, most: int = MOST) -> DataFrame:
-    """Links (a, b) of sets that span all near copies found among sets (set, row of one document that has it, n, f0, f1)."""
+    """Links (a, b) of sets that span all near copies found among sets (set, row of one document that has it, n, f0, f1, odd)."""
     masks = tables(sets.where("n > 0").count())
     some = sets.where(F.pmod(F.xxhash64("set", F.lit(SEED)), F.lit(SAMPLED)) == 0)
     large = _dealt(some, masks).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > most)
@@ -285,14 +300,22 @@ def links(documents: DataFrame, sets: DataFrame, most: int = MOST) -> DataFrame:
         part = F.xxhash64("key", F.pmod(F.xxhash64("set", "key"), "parts"))
         names = ["bucket", "key", "set", "n", "f0", "f1", "parts"]
         rows = materialize(thin.select(names).unionByName(rows.where("parts > 1").withColumn("bucket", part).select(names)))
-    hashes = materialize(_hashes(documents, materialize(sets.join(rows.select("set").distinct(), "set", "left_semi").select("row").distinct())))
-    found = materialize(_verified(_bucketed(rows, _leading(False), "a long, b long"), hashes))
+    odd = sets.join(rows.select("set").distinct(), "set", "left_semi").select("set", "row", "odd")
+    odd = materialize(odd)
+    rows = materialize(rows.join(odd.select("set", "odd"), "set"))
+    hashes = materialize(_hashes(documents, odd.select("row").distinct()))
 
     def rooted() -> DataFrame:
         roots = components(found).withColumnRenamed("node", "set")
         return rows.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
 
-    found = found.unionByName(materialize(_verified(_bucketed(rooted(), _leading(True), "a long, b long"), hashes)))
+    found = materialize(_verified(_bucketed(rows, _leading(0), "a long, b long"), hashes))
+    least, drawn = LEAST_LINKED * odd.count(), count(1)
+    while True:
+        more = materialize(_verified(_bucketed(rooted(), _leading(next(drawn)), "a long, b long"), hashes))
+        found = materialize(found.unionByName(more))
+        if more.count() <= least:
+            break
     last = rooted()
     if not large.isEmpty():
         last = materialize(last)
@@ -311,7 +334,7 @@ def near_copies(documents: DataFrame, most: int = MOST) -> DataFrame:
     any length are read whole; extra columns are not read.
     """
     docs = materialize(_sets(documents))
-    sets = docs.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    sets = docs.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("odd").alias("odd"))
     sets = materialize(sets)
     roots = components(links(documents, sets, most)).withColumnRenamed("node", "set")
     named = materialize(sets.select("set", "least").join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root")))

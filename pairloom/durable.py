@@ -6,6 +6,7 @@ import tempfile
 import warnings
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from uuid import uuid4
 
@@ -37,6 +38,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+@contextmanager
+def published(spark: SparkSession, out: str) -> Iterator[str]:
+    """A folder to write to, which becomes out when all is written: out is whole or not there. It must not exist before."""
+    if exists(spark, out):
+        raise FileExistsError(f"{out} exists")
+    made = f"{out.rstrip('/')}.unfinished-{uuid4().hex}"
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    files = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield made
+        if not files.rename(path(made), path(out)):
+            raise OSError(f"{out} could not be written")
+    except BaseException:
+        files.delete(path(made), True)
+        raise
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once a session: a cluster need not have it installed."""
     context = spark.sparkContext

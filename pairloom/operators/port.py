@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..durable import materialize
 from ..functions.names import is_portable
+from ..schema import PROVENANCE_TABLES
+from ..sources.catalogs import Catalog
 
 #: Matches by address alone; they replace a real name only on special request.
 STRIPPED = "Same binary with symbols stripped"
@@ -45,10 +47,12 @@ def decide(proposals: DataFrame, reference: DataFrame, target: DataFrame, origin
     """
     spark = proposals.sparkSession
     if origins is None:
-        origins = spark.createDataFrame([], "address string, name string, origin_address string, origin_name string, hops long, cumulative_ratio double")
+        origins = spark.createDataFrame([], PROVENANCE_TABLES["name_origin"])
+    if "first_labelled_at" not in origins.columns:
+        origins = origins.withColumn("first_labelled_at", F.lit(None).cast("string"))
     side = lambda df, n: df.select(F.col("address").alias(f"ea{n}"), F.col("name").alias(f"label{n}"), F.col("mangled_function").alias(f"mangled{n}"))
     rows = proposals.select("category", "ea1", "ea2", "ratio", "description", "place").join(side(reference, 1), "ea1").join(side(target, 2), "ea2")
-    history = origins.select(F.col("address").alias("ea1"), F.col("name").alias("label1"), "origin_address", "origin_name", F.col("hops").alias("before"), "cumulative_ratio")
+    history = origins.select(F.col("address").alias("ea1"), F.col("name").alias("label1"), "origin_address", "origin_name", F.col("hops").alias("before"), "cumulative_ratio", "first_labelled_at")
     rows = rows.join(history, ["ea1", "label1"], "left")
     selected = F.col("category").isin(*options.categories)
     claim = F.row_number().over(Window.partitionBy("ea2", selected).orderBy("place", "ea1"))
@@ -69,7 +73,7 @@ def decide(proposals: DataFrame, reference: DataFrame, target: DataFrame, origin
     written = F.when(is_portable(F.col("mangled1")), F.col("mangled1")).otherwise(F.col("label1"))
     counted = ~action.isin("not_selected", "skipped_conflict", "skipped_not_portable", "confirmed")
     when = lambda c: F.when(counted, c)
-    rows = rows.select("place", "category", "ea1", "ea2", "ratio", "description", action.alias("action"), F.col("label1").alias("reference_name"), F.col("mangled1").alias("reference_mangled"), F.col("label2").alias("name_before"), F.col("mangled2").alias("mangled_before"), when(F.col("hops")).alias("hops"), when(F.col("confidence")).alias("confidence"), when(F.coalesce("origin_address", "ea1")).alias("origin_address"), when(F.coalesce("origin_name", "label1")).alias("origin_name"), F.when(action == "applied", written).alias("written_mangled"))
+    rows = rows.select("place", "category", "ea1", "ea2", "ratio", "description", action.alias("action"), F.col("label1").alias("reference_name"), F.col("mangled1").alias("reference_mangled"), F.col("label2").alias("name_before"), F.col("mangled2").alias("mangled_before"), when(F.col("hops")).alias("hops"), when(F.col("confidence")).alias("confidence"), when(F.coalesce("origin_address", "ea1")).alias("origin_address"), when(F.coalesce("origin_name", "label1")).alias("origin_name"), "first_labelled_at", F.when(action == "applied", written).alias("written_mangled"))
     rows = materialize(rows)
     while True:
         after = labelled(target, rows)
@@ -91,8 +95,9 @@ def labelled(target: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def name_origins(decisions: DataFrame, target_origins: DataFrame | None = None) -> DataFrame:
-    """The origins of the names that were applied, and those the target had elsewhere."""
-    new = decisions.where("action = 'applied'").select(F.col("ea2").alias("address"), F.col("reference_name").alias("name"), "origin_address", "origin_name", "hops", F.col("confidence").alias("cumulative_ratio"), F.col("description").alias("heuristic"))
+    """The origins of the names that were applied, and those the target had elsewhere; a name keeps the time it was first carried."""
+    at = F.coalesce("first_labelled_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    new = decisions.where("action = 'applied'").select(F.col("ea2").alias("address"), F.col("reference_name").alias("name"), "origin_address", "origin_name", "hops", F.col("confidence").alias("cumulative_ratio"), F.col("description").alias("heuristic"), at.alias("first_labelled_at"))
     if target_origins is None:
         return new
     return new.unionByName(target_origins.join(new.select("address"), "address", "left_anti"), allowMissingColumns=True)
@@ -106,6 +111,23 @@ def provenance(previous: DataFrame, main: str, target: str, decisions: DataFrame
     return previous.unionByName(row)
 
 
+def require_proposals(proposals: DataFrame, reference: DataFrame, target: DataFrame) -> None:
+    """Raises ValueError with the first proposals that do not describe these two catalogs."""
+    wrong = check_proposals(proposals, reference, target).orderBy("ea1", "ea2").limit(5).collect()
+    if wrong:
+        raise ValueError("the results belong to another pair: " + "; ".join(f"{r.ea1} {r.name1} -> {r.ea2} {r.name2}: {r.problem}" for r in wrong))
+
+
+def labelled_catalog(reference: Catalog, target: Catalog, decisions: DataFrame, source: str, name: str) -> Catalog:
+    """target with the applied names, where they come from, one hop more than the reference has behind it, and the decisions."""
+    more = {
+        "name_origin": name_origins(decisions, target.table("name_origin")),
+        "provenance": provenance(reference.table("provenance"), source, name, decisions),
+        "port_log": decisions.select(*[f.split()[0] for f in PROVENANCE_TABLES["port_log"].split(", ")]),
+    }
+    return Catalog(labelled(target.functions, decisions), target.tables | more)
+
+
 def action_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("action").agg(F.count("*").alias("n"))
 

@@ -35,6 +35,12 @@ SIDE_TABLES = {
     "compilation_units": "id long, name string, functions long, primes_value string, pseudocode_primes string, start_ea string, end_ea string",
     "compilation_unit_functions": "id long, cu_id long, func_id long",
 }
+#: What a labelled catalog has besides: where its names come from, its hops, and the decisions of the last one.
+PROVENANCE_TABLES = {
+    "name_origin": "address string, name string, origin_address string, origin_name string, hops long, cumulative_ratio double, heuristic string, first_labelled_at string",
+    "provenance": "hop long, source string, lineage string, proposals long, applied long, confirmed long",
+    "port_log": "action string, category string, ea1 string, ea2 string, ratio double, description string, reference_name string, name_before string, hops long, confidence double, origin_address string, origin_name string, written_mangled string",
+}
 #: Fixed value: the version of the catalogs that this engine reads without a warning.
 VERSION = "3.4"
 REQUIRED = ("program", "version", "instructions", "constants", "compilation_units", "compilation_unit_functions")

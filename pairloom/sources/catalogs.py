@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import md_value
-from ..schema import FUNCTIONS, SIDE_TABLES
+from ..schema import FUNCTIONS, PROVENANCE_TABLES, SIDE_TABLES
 
 
 @dataclass
@@ -20,7 +20,7 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
-            self.tables[name] = self.functions.sparkSession.createDataFrame([], SIDE_TABLES[name])
+            self.tables[name] = self.functions.sparkSession.createDataFrame([], (SIDE_TABLES | PROVENANCE_TABLES)[name])
         return self.tables[name]
 
     def numbered(self) -> DataFrame:
@@ -40,7 +40,7 @@ class Pair:
 def read_catalog(spark: SparkSession, folder: str) -> Catalog:
     """A catalog kept as one Parquet table each in a folder; side tables that are not there are empty."""
     found = {}
-    for name, schema in SIDE_TABLES.items():
+    for name, schema in (SIDE_TABLES | PROVENANCE_TABLES).items():
         try:
             found[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
         except Exception as e:

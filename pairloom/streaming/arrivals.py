@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import port
 from ..plans.diff import Settings, update
-from ..sources.catalogs import Catalog, Pair, read_catalog
+from ..sources.catalogs import Pair, read_catalog
 
 
 def follow(paths: DataFrame, first: str, out: str, checkpoint: str, settings: Settings = Settings(), options: port.Options = port.Options()) -> StreamingQuery:
@@ -28,14 +28,15 @@ def follow(paths: DataFrame, first: str, out: str, checkpoint: str, settings: Se
         last = ""
         for n, row in enumerate(arrived.select("path").distinct().orderBy("path").toLocalIterator()):
             target = read_catalog(spark, row["path"])
-            outcome, decisions, labelled = update(Pair(reference, target), options, settings)
-            last = f"{out}/{number}-{n}"
-            labelled.write.mode("overwrite").parquet(f"{last}/functions")
-            for name, table in target.tables.items():
+            outcome, decisions, _ = update(Pair(reference, target), options, settings)
+            source, last = last or "reference", f"{out}/{number}-{n}"
+            made = port.labelled_catalog(reference, target, decisions, source, row["path"])
+            made.functions.write.mode("overwrite").parquet(f"{last}/functions")
+            for name, table in made.tables.items():
                 table.write.mode("overwrite").parquet(f"{last}/{name}")
             outcome.results().write.mode("overwrite").parquet(f"{last}/results")
             decisions.drop("place").write.mode("overwrite").parquet(f"{last}/decisions")
-            reference = Catalog(spark.read.parquet(f"{last}/functions"), target.tables)
+            reference = read_catalog(spark, last)
         if last:
             spark.createDataFrame([(number, last)], "batch long, path string").write.mode("overwrite").parquet(f"{out}/latest/{number}")
 

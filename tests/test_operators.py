@@ -15,7 +15,7 @@ from pairloom.operators import evaluate, graph, port, stages
 from pairloom.operators.candidates import candidates
 from pairloom.plans import diff as plan
 from pairloom.plans.registry import HEURISTICS, LONG_TEXTS, running
-from pairloom.schema import FUNCTIONS, SIDE_TABLES, validate
+from pairloom.schema import FUNCTIONS, SIDE_TABLES, check_version, validate
 from pairloom.sources import catalogs as stored
 from pairloom.sources.adapters import pair
 from pairloom.sources.catalogs import Pair
@@ -216,6 +216,50 @@ def test_commands_and_resuming(spark, tmp_path, capsys):
     assert run(spark, ["info", f"{tmp_path}/p/labelled"]) == 0
 
 
+def test_names_over_three_versions(spark, tmp_path):
+    """Names carried twice have two hops and multiplied confidences, and the lineage of both."""
+    from pairloom.__main__ import run
+
+    def version(n, shift, names):
+        functions = _functions(8, shift, names)
+        for f in functions:
+            f["bytes_hash"] = f"{n}{f['bytes_hash']}"  # near, not equal
+        stored.write_catalog(catalog(spark, functions), f"{tmp_path}/v{n}")
+
+    version(0, 0, "fn")
+    version(1, 8, "sub")
+    version(2, 16, "sub")
+    assert run(spark, ["update", f"{tmp_path}/v0", f"{tmp_path}/v1", "-o", f"{tmp_path}/a"]) == 0
+    assert run(spark, ["update", f"{tmp_path}/a/labelled", f"{tmp_path}/v2", "-o", f"{tmp_path}/b"]) == 0
+    first, second = (stored.read_catalog(spark, f"{tmp_path}/{x}/labelled") for x in "ab")
+    one = {r.name: r for r in first.table("name_origin").collect()}
+    two = {r.name: r for r in second.table("name_origin").collect()}
+    assert two and set(two) <= set(one)
+    ratio = {r.reference_name: r.ratio for r in second.table("port_log").where("action = 'applied'").collect()}
+    for name, r in two.items():
+        assert (r.hops, one[name].hops) == (2, 1) and r.origin_address == one[name].origin_address and r.first_labelled_at == one[name].first_labelled_at
+        assert abs(r.cumulative_ratio - one[name].cumulative_ratio * ratio[name]) < 1e-12
+    rows = second.table("provenance").orderBy("hop").collect()
+    assert [r.hop for r in rows] == [1, 2] and rows[1].lineage.count(" -> ") == 2 and rows[1].applied == len(two)
+    assert run(spark, ["update", f"{tmp_path}/v0", f"{tmp_path}/v1", "-o", f"{tmp_path}/a"]) == 2  # never over what is there
+    assert run(spark, ["diff", f"{tmp_path}/v0"]) == 2 and run(spark, ["info", f"{tmp_path}/nowhere"]) == 6
+    assert run(spark, ["port", f"{tmp_path}/v0", f"{tmp_path}/v2", "--results", f"{tmp_path}/a/results", "-o", f"{tmp_path}/c"]) == 4
+    assert not (tmp_path / "c").exists() and not [*tmp_path.glob("c.unfinished*")]
+
+
+def test_steps_of_other_catalogs_and_versions(spark, tmp_path):
+    a, b = catalog(spark, _functions(6)), catalog(spark, _functions(6, 6))
+    plan.diff(Pair(a, b), plan.Settings(rounds=1), f"{tmp_path}/steps")
+    with pytest.raises(ValueError, match="other catalogs"):
+        plan.diff(Pair(a, catalog(spark, _functions(5, 6))), plan.Settings(rounds=1), f"{tmp_path}/steps")
+    with pytest.raises(ValueError, match="other catalogs"):
+        plan.diff(Pair(a, b), plan.Settings(rounds=2), f"{tmp_path}/steps")
+    versions = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    assert check_version(versions("3.4")) == [] and "2.0" in check_version(versions("2.0"))[0]
+    with pytest.raises(ValueError, match="no version"):
+        check_version(versions())
+
+
 def test_rounds_go_on_until_nothing_is_added(spark, monkeypatch):
     """A chain of callees 14 deep: each round of passes finds one more."""
     asked = []

@@ -34,7 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     rounds of joins the estimates' products grow to numbers that planning does not come to an end with.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,10 +73,19 @@ def ship(spark: SparkSession) -> None:
     context._package_sent = True
 
 
+#: Rows that a Python function gets at once, so that what it makes of them stays small.
+ROWS = 1024
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow for functions that live in this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    size = ROWS
+
+    def by_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, size) for batch in batches for at in range(0, len(batch), size))
+
+    return df.mapInArrow(by_few, schema)
 
 
 def arrow_column(spark: SparkSession, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_column, arrow_map, materialize
 
 #: Bounds of the fit: labelled documents a language, words and n-grams kept a language, languages.
-DOCUMENTS, WORDS, GRAMS, LANGUAGES = 3000, 40_000, 100_000, 200
+DOCUMENTS, WORDS, GRAMS, LANGUAGES = 3000, 25_000, 40_000, 200
 #: Numbers of a table of the model: with many languages, fewer words and n-grams of each are kept.
 CELLS = 1 << 25
 #: The longest n-grams, and what giving up a character costs (of the log frequency).

@@ -163,8 +163,9 @@ def plan(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
 def pack(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", most: int = 2048, end_id: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of every document.
 
-    A null or empty text is the closing id alone. Repeated rows and doc_ids are packed each by itself. Pieces rank among
-    those of their length by part file and place in it, after the pieces are written, so a lost executor changes nothing.
+    A null or empty text is the closing id alone. Repeated rows and doc_ids are packed each by itself, texts of any length
+    whole; extra columns are not read. Pieces rank among those of their length by the partition they are read in and
+    their place there; ranks are written with the partition before they are counted, so a lost executor changes nothing.
     """
     parts = materialize(pieces(documents, tokenizer, most, end_id)).withColumn("pid", F.spark_partition_id())
 
@@ -181,13 +182,13 @@ def pack(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", most: int =
             seen[own[heads]] += counts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank)], names=[*batch.schema.names, "rank"])
 
-    counts = materialize(parts.groupBy("pid", "length").count())
+    numbered = materialize(arrow_map(parts, number, "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long"))
+    counts = materialize(numbered.groupBy("pid", "length").count())
     histogram = np.zeros(most + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # no more rows than a sequence has tokens
         histogram[row["length"]] = row["n"]
     slots, _ = plan(histogram, rounds)
     before = counts.select("pid", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("pid")) - F.col("count")).alias("before"))
-    numbered = arrow_map(parts, number, "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long")
     ranked = numbered.join(before, ["pid", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     shared = documents.sparkSession.sparkContext.broadcast(slots)  # bounded by the patterns of one histogram
 

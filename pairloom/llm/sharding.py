@@ -116,7 +116,9 @@ def shard(documents: DataFrame, shards: int = 16, tolerance: float = 0.001, prob
     """doc_id, size, text_crc32, shard, slot of every row; the law is bytes: shards of near equal sums of size.
 
     size: UTF-8 bytes of the text (null: none) plus 1. Copies share a shard but where a group straddles a splitter. Rows
-    equal in text and doc_id always share one. A null doc_id sorts first among its copies.
+    equal in text and doc_id always share one. A null doc_id sorts first among its copies. Texts of any length count
+    whole; a splitter cannot cut a document, so sums of size differ by up to the longest one near it. Extra columns are
+    not read.
     """
     text = F.coalesce("text", F.lit(""))
     doc = F.col("doc_id").cast("long")

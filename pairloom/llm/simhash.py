@@ -200,7 +200,8 @@ def near_duplicates(documents: DataFrame, distance: int = 2, words: int = 3, mos
     """doc_id, fp (signed long) and component_id, the smallest doc_id reachable, for every row of documents (doc_id, text).
 
     A text without words, null texts among them, has fingerprint 0, which links like any other. Repeated rows get the
-    same result each; a null doc_id takes part but names a component only where all its members are null.
+    same result each; a null doc_id takes part but names a component only where all its members are null. Texts of any
+    length are read whole; extra columns are not read.
     """
     docs = materialize(fingerprints(documents, words))
     distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))

@@ -56,3 +56,9 @@ def test_places_below_probes():
     assert got.tolist() == [sum(p <= (int(h), int(d)) for p in probes) for h, d in keys]
     for k in [(-(1 << 63), -(1 << 63)), (0, 0), ((1 << 63) - 1, 5)]:
         assert sharding._pair(sharding._key(*k)) == k
+
+
+def test_very_long_texts_and_odd_columns(spark):
+    rows = [(k, "z" * 3_000_000 if k % 50 == 0 else f"t{k}") for k in range(200)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, h int, d int, range int")
+    _check(rows, sharding.shard(docs).collect(), 16, 3_000_001)

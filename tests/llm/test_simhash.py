@@ -95,3 +95,16 @@ def test_one_row_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, "A B C d"), (5, "x y z"), (5, "quite another text of the same id"), (6, ""), (None, "n o p"), (None, None)], key=str)
     assert simhash.keep_first(docs.where("doc_id IN (3, 5) AND text <> 'x y z'")).count() == 2 and simhash.keep_first(docs.where("false")).count() == 0
+
+
+def test_very_long_text_and_odd_columns(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(200_000))
+    rows = [(5, long), (3, long.upper()), (4, "short text")]
+    frame = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, own int, fp int, component_id string")
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    assert got[3] == got[5] and got[3][1] == 3 and got[4][1] == 4
+    words = long.split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]), 42) for k in range(len(words) - 2)]
+    assert got[3][0] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    kept = simhash.keep_first(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]

@@ -60,8 +60,15 @@ def published(spark: SparkSession, out: str) -> Iterator[str]:
         raise
 
 
+#: Rows that a Python function gets at once, so that they and what it makes of them stay small on both sides.
+ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a session: a cluster need not have it installed."""
+    """Send this package's code to the executors, once a session: a cluster need not have it installed. Arrow batches of the session have ROWS rows at most."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS:
+        spark.conf.set(_BATCH, ROWS)
     context = spark.sparkContext
     if getattr(context, "_package_sent", False):
         return
@@ -73,19 +80,10 @@ def ship(spark: SparkSession) -> None:
     context._package_sent = True
 
 
-#: Rows that a Python function gets at once, so that what it makes of them stays small.
-ROWS = 1024
-
-
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow for functions that live in this package."""
     ship(df.sparkSession)
-    size = ROWS
-
-    def by_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.slice(at, size) for batch in batches for at in range(0, len(batch), size))
-
-    return df.mapInArrow(by_few, schema)
+    return df.mapInArrow(run, schema)
 
 
 def arrow_column(spark: SparkSession, run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str) -> Callable[..., Column]:

@@ -343,7 +343,7 @@ _DECIDED = _decisions_sql()
 
 @query(f"{_DECIDED} SELECT * REPLACE (coalesce(hops, 0) AS hops, coalesce(confidence, 0) AS confidence) FROM decided")
 def port_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(pair(spark, sf_dir)).drop("place").fillna(0, ["hops"]).fillna(0.0, ["confidence"])
+    return _decisions(pair(spark, sf_dir)).drop("place", "first_labelled_at").fillna(0, ["hops"]).fillna(0.0, ["confidence"])
 
 
 @query(f"{_DECIDED} SELECT action, count(*) AS n FROM decided GROUP BY action")

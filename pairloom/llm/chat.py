@@ -37,7 +37,7 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def _starts(turns: DataFrame, budget: int, history: int) -> DataFrame:
-    """key and starts: for each conversation, whether each of its turns (key, place, tokens, upto, role) opens a window.
+    """key, same (conv_id) and starts: for each conversation, whether each of its turns (key, conv_id, place, tokens, upto, role) opens a window.
 
     A fold over numbers of the turns alone; its state has the prefix sum up to which the window goes, and what the next
     window may repeat.
@@ -61,9 +61,9 @@ def _starts(turns: DataFrame, budget: int, history: int) -> DataFrame:
             F.when(opens, F.concat(s["first"], F.array(x["place"]))).otherwise(s["first"]).alias("first"),
         )
 
-    folded = turns.groupBy("key").agg(F.array_sort(F.collect_list(turn)).alias("t")).select("key", F.size("t").cast("long").alias("n"), F.aggregate("t", zero, step, lambda s: s["first"]).alias("first"))
+    folded = turns.groupBy("key").agg(F.first("conv_id").alias("same"), F.array_sort(F.collect_list(turn)).alias("t")).select("key", "same", F.size("t").cast("long").alias("n"), F.aggregate("t", zero, step, lambda s: s["first"]).alias("first"))
     after = F.concat(F.slice("first", F.lit(2), F.greatest(F.size("first") - 1, F.lit(0))), F.array(F.col("n") + 1))
-    return folded.select("key", F.flatten(F.zip_with("first", after, lambda a, b: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), (b - a - 1).cast("int"))))).alias("starts"))
+    return folded.select("key", "same", F.flatten(F.zip_with("first", after, lambda a, b: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), (b - a - 1).cast("int"))))).alias("starts"))
 
 
 def _history(one: Column, two: Column, place: Column, system_at: Column, room: Column, history: int) -> tuple[Column, Column]:
@@ -88,8 +88,9 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128) ->
     turns = conversations.select("conv_id", key.alias("key"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("tokens", (F.size(F.split("text", SPACES)) + MARKS).cast("long"))
     turns = turns.withColumn("place", F.row_number().over(order).cast("long")).withColumn("upto", F.sum("tokens").over(so_far))
-    # both sides are dealt by key already, so the texts are shuffled once
-    turns = turns.join(_starts(turns, budget, history), "key").withColumn("first", F.element_at("starts", F.col("place").cast("int"))).drop("starts")
+    # both sides are dealt by key already and read the same columns, so that one exchange serves both
+    turns = turns.join(_starts(turns, budget, history), "key").withColumn("first", F.element_at("starts", F.col("place").cast("int")))
+    turns = turns.withColumn("conv_id", F.coalesce("conv_id", "same")).drop("starts", "same")
     turn = F.struct("place", "role", "text", "tokens")
     system = F.first(F.when(F.col("role") == "system", turn), ignorenulls=True).over(earlier)
     one, two = F.lag(turn, 1).over(order), F.lag(turn, 2).over(order)

@@ -8,7 +8,7 @@ from array import array
 from functools import cache
 
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
-KEPT = 150_000
+KEPT = 300_000
 #: ASCII marks that form tokens of their own at the end of a word that ends in an ASCII letter or digit.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level BPE writes each byte as a character: those that print in Latin-1 as themselves, the others from 256 on.

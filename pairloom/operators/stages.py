@@ -147,14 +147,16 @@ def _units(side: Catalog, number: int) -> DataFrame:
 
 
 def _inside(side: Catalog, ranges: DataFrame, number: int) -> DataFrame:
-    """Functions within ranges (low, high): both sides are cut into cells as wide as the mean range, so this is an equi join."""
-    low, high = f"low{number}", f"high{number}"
-    own = ranges.select(low, high).distinct()
-    width = own.agg(F.greatest(F.avg(F.col(high) - F.col(low)), F.lit(1.0)).alias("w")).first()["w"] or 1.0
-    cell = lambda c: F.floor(c / F.lit(float(width)))
-    cells = own.where(F.col(low) <= F.col(high)).withColumn("cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
-    functions = _rows(side, number).withColumn("at", F.col(f"ea{number}").try_cast("double")).withColumn("cell", cell(F.col("at")))
-    return cells.join(functions, "cell").where(F.col("at").between(F.col(low), F.col(high))).drop("cell", "at")
+    """Functions within ranges (low, high), by an equi join: a range is in the one or two cells of its own width, rounded up to a power of two, that it meets, and a function in its cell of each such width."""
+    low, high, at = F.col(f"low{number}"), F.col(f"high{number}"), F.col("at")
+    cell = lambda c, level: F.floor(c / F.pow(F.lit(2.0), level))
+    own = ranges.select(low, high).distinct().where(low <= high)
+    own = own.withColumn("level", F.ceil(F.log2(F.greatest(high - low, F.lit(1.0)))).cast("int"))
+    cells = own.withColumn("cell", F.explode(F.array_distinct(F.array(cell(low, F.col("level")), cell(high, F.col("level"))))))
+    levels = [r["level"] for r in own.select("level").distinct().collect()]  # as many as powers of two
+    functions = _rows(side, number).withColumn("at", F.col(f"ea{number}").try_cast("double"))
+    functions = functions.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cell", cell(at, F.col("level")))
+    return cells.join(functions, ["level", "cell"]).where(at.between(low, high)).drop("level", "cell", "at")
 
 
 def related_units(pair: Pair, likely: DataFrame) -> DataFrame:

@@ -55,6 +55,7 @@ def _h(number: int, name: str, category: str, consumer: str | float, keys: str,
     )
 
 
+#: The heuristics' numbers, names, categories, keys, conditions and thresholds.
 HEURISTICS: tuple[Heuristic, ...] = (
     _h(0, "Same RVA and hash", "best", "all", "bytes_hash instructions", f"(f.rva = df.rva OR f.segment_rva = df.segment_rva) AND {_SAME_OR_AUTO} AND {_both('{}nodes >= 3')}", "cpu"),
     _h(1, "Same order and hash", "best", "all", "id bytes_hash instructions", f"{_SAME_OR_AUTO} AND {_LARGE}", "cpu"),

@@ -27,14 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, gathered: bool = False) -> DataFrame:
     """Write df as a table to the shared folder and go on from its files.
 
+    gathered: what a scan's many tasks make is little each; it is dealt into partitions of a good size first.
+
     Unlike checkpoint(), whose result keeps the estimated size of its plan, a written table has its real size: over many
     rounds of joins the estimates' products grow to numbers that planning does not come to an end with.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    (df.hint("rebalance") if gathered else df).write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -237,7 +237,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = materialize(_seeds(items).distinct())
     longest, size = items.agg(F.max("n"), F.sum(F.length("tokens"))).first()
     short = [r["n"] for r in items.where(F.col("n") < SHORT).select("n").distinct().collect()]
-    blocks = materialize(_blocks(documents, bitmap(hashes), sorted(short), longest or 0).withColumn("block", F.xxhash64("doc_id", "begin", "tokens")))
+    blocks = materialize(_blocks(documents, bitmap(hashes), sorted(short), longest or 0).withColumn("block", F.xxhash64("doc_id", "begin", "tokens")), gathered=True)
     hits = blocks.select("block", F.explode("hits").alias("hit")).select("block", "hit.hash", F.col("hit.at").alias("place"))
     aligned = hits.join(hashes, "hash").select("block", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     if (size or 0) <= BROADCAST_BYTES:

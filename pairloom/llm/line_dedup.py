@@ -138,8 +138,8 @@ def _windows(lines: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, version, runs: for each document with lines to delete, its maximal runs of them (start and end, lines from 0, both inclusive)."""
-    lines = materialize(_lines(documents, min_words))
-    positions = materialize(_positions(lines, min_words))
+    lines = materialize(_lines(documents, min_words), gathered=True)
+    positions = materialize(_positions(lines, min_words), gathered=True)
     shared = positions.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     hits = spread_join(positions, shared, ["fp"], ["doc_id", "version"], "left_semi").groupBy("doc_id", "version").agg(F.collect_set("line").alias("hits"))
     near = materialize(_windows(lines, hits, min_words))

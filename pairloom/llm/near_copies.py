@@ -333,7 +333,7 @@ def near_copies(documents: DataFrame, most: int = MOST) -> DataFrame:
     null doc_id names a component only where all its members are null. Repeated rows get the same result each; texts of
     any length are read whole; extra columns are not read.
     """
-    docs = materialize(_sets(documents))
+    docs = materialize(_sets(documents), gathered=True)
     sets = docs.groupBy("set").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("odd").alias("odd"))
     sets = materialize(sets)
     roots = components(links(documents, sets, most)).withColumnRenamed("node", "set")

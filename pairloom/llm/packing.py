@@ -167,7 +167,7 @@ def pack(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", most: int =
     whole; extra columns are not read. Pieces rank among those of their length by the partition they are read in and
     their place there; ranks are written with the partition before they are counted, so a lost executor changes nothing.
     """
-    parts = materialize(pieces(documents, tokenizer, most, end_id)).withColumn("pid", F.spark_partition_id())
+    parts = materialize(pieces(documents, tokenizer, most, end_id), gathered=True).withColumn("pid", F.spark_partition_id())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(most + 1, np.int64)

@@ -113,7 +113,7 @@ def judge(documents: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     texts of any length are read whole; extra columns are not read. Hosts are counted before they are shuffled, so one
     host may hold most rows; the verdicts are joined back, and large hosts are split in that join.
     """
-    rows = materialize(measured(documents).select("*", *[F.coalesce(c, F.lit(False)).alias(r) for r, c in failures().items()]))
+    rows = materialize(measured(documents).select("*", *[F.coalesce(c, F.lit(False)).alias(r) for r, c in failures().items()]), gathered=True)
     verdicts = host_verdicts(rows, deviations)
     hosts = verdicts.groupBy(F.col("source").alias("host")).agg(F.max(F.when(F.col("rule") == "base", F.col("rate"))).alias("host_rate"), F.bool_or("condemned").alias("host_condemned"))
     joined = rows.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left").drop("host", *RULES[1:]).withColumnRenamed("base", "base_failed")

@@ -123,7 +123,7 @@ def shard(documents: DataFrame, shards: int = 16, tolerance: float = 0.001, prob
     text = F.coalesce("text", F.lit(""))
     doc = F.col("doc_id").cast("long")
     slim = documents.select(doc.alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(doc, F.lit(-_LOW)).alias("d"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    slim = materialize(slim)
+    slim = materialize(slim, gathered=True)
     ranges = min(MOST_RANGES, max(8, -(-slim.count() // (shards * RANGE_ROWS))))
     cuts, _ = splitters(slim, shards * ranges, tolerance, ranges, probes)
     pairs = np.array([_pair(c) for c in cuts], np.int64).reshape(-1, 2)

@@ -203,7 +203,7 @@ def near_duplicates(documents: DataFrame, distance: int = 2, words: int = 3, mos
     same result each; a null doc_id takes part but names a component only where all its members are null. Texts of any
     length are read whole; extra columns are not read.
     """
-    docs = materialize(fingerprints(documents, words))
+    docs = materialize(fingerprints(documents, words), gathered=True)
     distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(near_links(distinct, distance, most)).withColumnRenamed("node", "fp")
     linked = materialize(distinct.select("fp", "least").join(roots, "fp"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,9 @@ def numeric_prefix_is_zero(text: Column) -> Column:
     """Whether the number a text begins with is zero, a text without one counting as zero."""
     prefix = F.regexp_extract(text, r"^[ \t\n\x0b\f\r]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
     return F.coalesce(prefix.try_cast("double"), F.lit(0.0)) == 0
+
+
+def glob_matches(name: str, globs: str) -> bool:
+    """Whether one of some patterns, | between them, is the name; * stands for any characters, ? for one."""
+    wild = {"*": ".*", "?": "."}
+    return any(re.fullmatch("".join(wild.get(c, re.escape(c)) for c in glob), name, re.S) for glob in globs.split("|"))

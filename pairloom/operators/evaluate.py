@@ -84,3 +84,10 @@ def catalogs_equal(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFram
     """table, only_a, only_b for every table of two catalogs, rows compared as multisets."""
     rows = [same_rows(a[t], b[t], a[t].columns).select(F.lit(t).alias("table"), "only_a", "only_b") for t in a if t in b]
     return reduce(DataFrame.union, rows)
+
+
+def compare_traces(one: DataFrame, two: DataFrame) -> DataFrame:
+    """seq, id1, id2, decision1, decision2 of the candidates that two traces decide differently, or that only one has (null in the other)."""
+    sides = [t.select("seq", "id1", "id2", "description", F.col("decision").alias(f"decision{n}")) for n, t in ((1, one), (2, two))]
+    both = sides[0].join(sides[1], ["seq", "id1", "id2", "description"], "full_outer")
+    return both.where(~F.col("decision1").eqNullSafe(F.col("decision2"))).orderBy("seq", "id1", "id2")

@@ -24,6 +24,69 @@ def leaders(instructions: list[tuple[int, int | None, bool]]) -> list[int]:
     return sorted(out)
 
 
+#: Roles of instructions after which the next one is not reached, or only by a jump.
+STOPS = frozenset(("branch", "conditional", "indirect", "return", "noreturn", "invalid"))
+
+
+def partition(instructions: list[tuple[int, int, str, int | None]]) -> list[dict]:
+    """The basic blocks that a function's first instruction reaches, by start: instructions are (offset, size, role, target).
+
+    A block has start, size, count (of instructions), ending (its last role, or fallthrough where another block begins,
+    or range where the instructions do not go on), and successors and predecessors by number: the target of a jump within
+    the function, then what follows a conditional jump or a fall through, each once.
+    """
+    listing = {at: (size, role, target) for at, size, role, target in instructions}
+    starts = {min(listing)} if listing else set()
+    waiting = [*starts]
+
+    def ahead(at: int) -> Iterator[tuple[int, int, str, int | None]]:
+        """What runs from a start on: (offset, offset after it, role, target), up to a stop or another start."""
+        first = at
+        while at in listing and (at == first or at not in starts):
+            size, role, target = listing[at]
+            yield at, at + size, role, target
+            if role in STOPS:
+                return
+            at += size
+
+    while waiting:
+        for _, after, role, target in ahead(waiting.pop()):
+            reached = [target] * (role in ("branch", "conditional")) + [after] * (role == "conditional")
+            fresh = [x for x in dict.fromkeys(reached) if x in listing and x not in starts]
+            starts.update(fresh)
+            waiting += fresh
+    blocks, number = [], {at: k for k, at in enumerate(sorted(starts))}
+    for start in number:
+        run = [*ahead(start)]
+        _, end, role, target = run[-1]
+        ending = role if role in STOPS else "fallthrough" if end in number else "range"
+        nexts = [target] * (role in ("branch", "conditional")) + [end] * (ending in ("conditional", "fallthrough", "range"))
+        blocks.append({"start": start, "size": end - start, "count": len(run), "ending": ending, "successors": [number[x] for x in dict.fromkeys(nexts) if x in number], "predecessors": []})
+    for k, block in enumerate(blocks):
+        for to in block["successors"]:
+            blocks[to]["predecessors"].append(k)
+    return blocks
+
+
+def basic_blocks(instructions: DataFrame) -> DataFrame:
+    """func_id, block (its number) and what partition() says of it, from instructions (func_id, offset, size, role, target).
+
+    A function's instructions meet in one row.
+    """
+    own = instructions.groupBy("func_id").agg(F.array_sort(F.collect_list(F.struct("offset", "size", "role", "target"))).alias("listing"))
+    kinds = {"start": pa.int64(), "size": pa.int64(), "count": pa.int64(), "ending": pa.string(), "successors": pa.list_(pa.int32()), "predecessors": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [partition([tuple(x.values()) for x in listing]) for listing in batch.column(1).to_pylist()]
+            row = pa.array([k for k, blocks in enumerate(found) for _ in blocks], pa.int64())
+            number = pa.array([n for blocks in found for n in range(len(blocks))], pa.int32())
+            columns = [pa.array([b[name] for blocks in found for b in blocks], kind) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), number, *columns], names=["func_id", "block", *kinds])
+
+    return arrow_map(own, run, "func_id long, block int, start long, size long, count long, ending string, successors array<int>, predecessors array<int>")
+
+
 def strong_components(blocks: list[int], edges: dict[int, list[int]]) -> list[list[int]]:
     """Strongly connected components, without recursion."""
     index: dict[int, int] = {}

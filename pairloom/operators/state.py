@@ -39,8 +39,8 @@ def entries(matches: DataFrame, number: int) -> DataFrame:
     return matches.where(F.col(name).isNotNull()).groupBy(name).agg(last.alias(f"known{number}"))
 
 
-def _standing(entry1: Column, entry2: Column) -> Column:
-    """Whether the entries of both names leave a candidate standing.
+def _decision(entry1: Column, entry2: Column) -> Column:
+    """accepted if the entries of both names leave a candidate standing, else has_best or has_better.
 
     A certain entry never does. Where neither name is made up, one of name1 only refuses if it is of two equal names,
     whatever the ratios; else a higher ratio refuses.
@@ -49,36 +49,43 @@ def _standing(entry1: Column, entry2: Column) -> Column:
     certain = (entry1["stored"] == 1.0) | (entry2["stored"] == 1.0)
     higher = F.coalesce(entry1["stored"] > F.col("ratio"), F.lit(False)) | F.coalesce(entry2["stored"] > F.col("ratio"), F.lit(False))
     better = F.when(named & entry1.isNotNull(), entry1["partner"].eqNullSafe(F.col("name1"))).otherwise(higher)
-    return ~F.coalesce(certain, F.lit(False)) & ~better
+    return F.when(F.coalesce(certain, F.lit(False)), "has_best").when(better, "has_better").otherwise("accepted")
 
 
-def take(candidates: DataFrame, matches: DataFrame | None) -> DataFrame:
-    """Of scored candidates (with seq, ratio and category by consumer), those that the matches so far and the candidates taken before leave standing.
+def decisions(candidates: DataFrame, matches: DataFrame | None) -> DataFrame:
+    """Scored candidates (with seq, ratio and category by consumer), each with its decision: accepted, nullsub, has_best or has_better.
 
     Candidates come in the order (seq, id1, id2); one that is taken becomes the entry of both its names. Whether a
     candidate stands thus depends on earlier ones that were taken, not on those that were refused: starting from all,
     each round decides anew by the ones of the round before, which settles at least one more link of every chain of
     dependent candidates, until a round changes nothing. Null subs are never taken; a null name has no entry.
     """
-    rows = candidates.where(~F.coalesce(F.col("name1").startswith("nullsub_") | F.col("name2").startswith("nullsub_"), F.lit(False))).select(*MATCH)
+    rows = candidates.select(*MATCH)
     for number in (1, 2):
         kind, known = "struct<partner: string, stored: double>", f"known{number}"
         rows = rows.withColumn(known, F.lit(None).cast(kind)) if matches is None else rows.join(entries(matches, number), f"name{number}", "left")
-        rows = rows.where(F.coalesce(F.col(f"{known}.stored") != 1.0, F.lit(True)))  # certain entries stay so
-    rows = materialize(rows.withColumn("taken", F.lit(True)))
+    null_sub = F.coalesce(F.col("name1").startswith("nullsub_") | F.col("name2").startswith("nullsub_"), F.lit(False))
+    settled = F.when(null_sub, "nullsub").when((F.col("known1.stored") == 1.0) | (F.col("known2.stored") == 1.0), "has_best")  # certain entries stay so
+    rows = materialize(rows.withColumn("decision", settled))
+    refused, rows = rows.where("decision IS NOT NULL").select(*MATCH, "decision"), rows.where("decision IS NULL").withColumn("decision", F.lit("accepted"))
     stored = effective()
     while True:
         found = []
         for number in (1, 2):
             before = Window.partitionBy(f"name{number}").orderBy("seq", "id1", "id2").rowsBetween(*_BEFORE)
             entry = F.struct(F.col(f"name{3 - number}").alias("partner"), stored.alias("stored"))
-            latest = F.last(F.when(F.col("taken"), entry), ignorenulls=True).over(before)
+            latest = F.last(F.when(F.col("decision") == "accepted", entry), ignorenulls=True).over(before)
             found.append(F.when(F.col(f"name{number}").isNotNull(), F.coalesce(latest, F.col(f"known{number}"))).alias(f"entry{number}"))
-        again = rows.select("*", found[0]).select("*", found[1]).withColumn("now", _standing(F.col("entry1"), F.col("entry2"))).drop("entry1", "entry2")
+        again = rows.select("*", found[0]).select("*", found[1]).withColumn("now", _decision(F.col("entry1"), F.col("entry2"))).drop("entry1", "entry2")
         again = materialize(again)
-        if again.where("now <> taken").isEmpty():
-            return again.where("taken").select(*MATCH)
-        rows = again.drop("taken").withColumnRenamed("now", "taken")
+        rows = again.drop("decision").withColumnRenamed("now", "decision")
+        if again.where("(now = 'accepted') <> (decision = 'accepted')").isEmpty():
+            return rows.select(*MATCH, "decision").unionByName(refused)
+
+
+def take(candidates: DataFrame, matches: DataFrame | None) -> DataFrame:
+    """The candidates that decisions() accepts."""
+    return decisions(candidates, matches).where("decision = 'accepted'").select(*MATCH)
 
 
 def cleanup(matches: DataFrame) -> DataFrame:

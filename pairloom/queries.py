@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .durable import materialize
@@ -15,6 +15,7 @@ from .operators.candidates import block_mnemonics, candidates, first_rows
 from .plans import diff as plan
 from .plans import twins
 from .plans.registry import HEURISTICS, Heuristic
+from .schema import FUNCTION_COLUMNS
 from .sources.adapters import pair
 from .sources.catalogs import Catalog, Pair
 
@@ -414,7 +415,7 @@ def score_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion(read("labels").join(read("documents").select("doc_id", "n_chars"), "doc_id"), F.col("quality") == 1, F.col("n_chars") > 1000)
 
 
-_CENSUS = ("id", "name", "nodes", "md_index", "names")
+_CENSUS = tuple(FUNCTION_COLUMNS)
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct_values, sum(('0x' || substr(md5(concat_ws('=', id::varchar, coalesce({c}::varchar, 'null'))), 1, 8))::bigint)::bigint AS digest FROM main_functions" for c in _CENSUS))
@@ -447,6 +448,16 @@ def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_features(*_graph(spark, sf_dir))
 
 
+@query()
+def basic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as instructions: the part's number makes the function, the order of their keys the place, the supplier the role and target."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_partkey % 500 AS func_id", "l_orderkey", "l_linenumber", "l_suppkey")
+    place = F.row_number().over(Window.partitionBy("func_id").orderBy("l_orderkey", "l_linenumber", "l_suppkey")).cast("long") - 1
+    role = "element_at(array('normal', 'call', 'branch', 'normal', 'conditional', 'normal', 'return', 'conditional', 'normal'), CAST(l_suppkey % 9 + 1 AS int))"
+    listing = rows.withColumn("offset", place).select("func_id", "offset", F.lit(1).cast("long").alias("size"), F.expr(role).alias("role"), (F.col("l_suppkey") * 7 % 40).alias("target"))
+    return graph.basic_blocks(listing)
+
+
 QUERIES["graph_degrees"] = lambda spark, sf_dir: graph.degrees(_graph(spark, sf_dir)[1])
 SQL["graph_degrees"] = """WITH e AS (SELECT DISTINCT l_partkey % 500 AS func_id, l_linenumber::bigint AS src, l_suppkey % 9 AS dst FROM lineitem)
 SELECT func_id, block, sum(i)::bigint AS indegree, sum(o)::bigint AS outdegree FROM (SELECT func_id, src AS block, 0 AS i, 1 AS o FROM e UNION ALL SELECT func_id, dst, 1, 0 FROM e) GROUP BY ALL"""

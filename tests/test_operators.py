@@ -11,7 +11,8 @@ from catalogs import catalog
 from conftest import SMALL
 
 from pairloom.functions import textdiff
-from pairloom.operators import evaluate, graph, port, stages
+from pairloom.functions.names import glob_matches
+from pairloom.operators import evaluate, graph, port, results, stages
 from pairloom.operators.candidates import candidates
 from pairloom.plans import diff as plan
 from pairloom.plans.registry import HEURISTICS, LONG_TEXTS, running
@@ -80,6 +81,74 @@ def test_graph_features_against_brute_force():
     assert graph.leaders([(0, None, False), (1, 4, True), (2, None, False), (4, 99, True)]) == [0, 2, 4]
 
 
+def _reached(listing):
+    """Blocks by brute force: all starts that a walk over single instructions finds, then cut at starts."""
+    by = {at: (size, role, target) for at, size, role, target in listing}
+    seen, starts, todo = set(), {min(by)}, [min(by)]
+    while todo:
+        at = todo.pop()
+        if at in seen or at not in by:
+            continue
+        seen.add(at)
+        size, role, target = by[at]
+        if role in ("branch", "conditional") and target in by:
+            starts.add(target)
+            todo.append(target)
+        if role == "conditional" and at + size in by:
+            starts.add(at + size)
+        if role not in graph.STOPS or role == "conditional":
+            todo.append(at + size)
+    out = {}
+    for start in sorted(starts):
+        at, n = start, 0
+        while True:
+            size, role, target = by[at]
+            n, at = n + 1, at + size
+            if role in graph.STOPS or at in starts or at not in by:
+                break
+        to = ([target] if role in ("branch", "conditional") else []) + ([at] if role == "conditional" or role not in graph.STOPS else [])
+        out[start] = (n, at - start, [x for k, x in enumerate(to) if x in starts and x not in to[:k]])
+    return out
+
+
+def test_basic_blocks_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, wanted = [], {}
+    for func in range(80):
+        at, listing = 0, []
+        for _ in range(rng.randint(1, 15)):
+            size = rng.randint(1, 3)
+            listing.append((at, size, rng.choice(["normal", "normal", "call", "branch", "conditional", "return", "invalid"]), rng.choice([None, rng.randint(0, 30)])))
+            at += size
+        wanted[func] = _reached(listing)
+        rows += [(func, *x) for x in listing]
+    got = {}
+    for r in graph.basic_blocks(spark.createDataFrame(rows, "func_id long, offset long, size long, role string, target long")).orderBy("func_id", "block").collect():
+        got.setdefault(r.func_id, []).append(r)
+    for func, blocks in got.items():
+        starts = [b.start for b in blocks]
+        assert {b.start: (b["count"], b["size"], [starts[k] for k in b.successors]) for b in blocks} == wanted[func]
+        assert all(b.predecessors == [k for k, a in enumerate(blocks) if b.block in a.successors] for b in blocks)
+    assert set(got) == set(wanted) and graph.partition([]) == []
+
+
+def test_traces_and_steps(spark, tmp_path):
+    pair_ = Pair(catalog(spark, _functions(8)), catalog(spark, _functions(8, 8, "sub")))
+    runs = [plan.Diff(pair_, plan.Settings(rounds=1, trace="step-00[|step-*"), f"{tmp_path}/{x}") for x in "ab"]
+    outcomes = [r.run() for r in runs]
+    traces = [spark.read.parquet(f"{tmp_path}/{x}/trace/step-00*") for x in "ab"]
+    assert traces[0].count() and evaluate.compare_traces(*traces).count() == 0
+    assert evaluate.compare_traces(traces[0], traces[1].where("decision = 'accepted'")).count() == traces[0].where("decision <> 'accepted'").count()
+    again = plan.Diff(pair_, plan.Settings(rounds=1, trace="step-00[|step-*"), f"{tmp_path}/a").at(2)
+    assert again.next_seq == 2 and again.matches.count() == spark.read.parquet(f"{tmp_path}/a/step-001").count()
+    with pytest.raises(ValueError, match="not there"):
+        again.at(99)
+    results.write_json(outcomes[0].results(), f"{tmp_path}/json")
+    schema = ", ".join(f"{c} {t}" for c, t in outcomes[0].results().dtypes)
+    assert evaluate.same_rows(results.read_json(spark, f"{tmp_path}/json", schema), outcomes[0].results(), outcomes[0].results().columns).first() == (0, 0)
+    assert glob_matches("before:cleanup", "x|before:*") and glob_matches("a.c", "a?c") and not glob_matches("abc", "a.c|ab") and not glob_matches("step-000", "")
+
+
 def test_gaps_follow_consecutive_matches(spark):
     rng = random.Random(1)
     ends = sorted(rng.sample(range(10, 3000), 200))

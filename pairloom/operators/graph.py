@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import arrow_map
+from ..durable import arrow_map, ship
 
 
 def leaders(instructions: list[tuple[int, int | None, bool]]) -> list[int]:
@@ -68,23 +69,26 @@ def partition(instructions: list[tuple[int, int, str, int | None]]) -> list[dict
     return blocks
 
 
+_KINDS = {"start": pa.int64(), "size": pa.int64(), "count": pa.int64(), "ending": pa.string(), "successors": pa.list_(pa.int32()), "predecessors": pa.list_(pa.int32())}
+
+
+def _function_blocks(listing: pa.Table) -> pa.Table:
+    """The rows of one function, from its instructions in any order."""
+    order = pc.sort_indices(listing, sort_keys=[(c, "ascending") for c in ("offset", "size", "role", "target")], null_placement="at_start")
+    blocks = partition([*zip(*(listing[c].take(order).to_pylist() for c in ("offset", "size", "role", "target")))])
+    columns = {name: pa.array([b[name] for b in blocks], kind) for name, kind in _KINDS.items()}
+    func = pa.repeat(listing["func_id"][0].cast(pa.int64()), len(blocks))
+    return pa.table({"func_id": func, "block": pa.array(range(len(blocks)), pa.int32())} | columns)
+
+
 def basic_blocks(instructions: DataFrame) -> DataFrame:
     """func_id, block (its number) and what partition() says of it, from instructions (func_id, offset, size, role, target).
 
-    A function's instructions meet in one row.
+    A function's instructions meet in one group; the groups of a task are gone through one after the other.
     """
-    own = instructions.groupBy("func_id").agg(F.array_sort(F.collect_list(F.struct("offset", "size", "role", "target"))).alias("listing"))
-    kinds = {"start": pa.int64(), "size": pa.int64(), "count": pa.int64(), "ending": pa.string(), "successors": pa.list_(pa.int32()), "predecessors": pa.list_(pa.int32())}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [partition([tuple(x.values()) for x in listing]) for listing in batch.column(1).to_pylist()]
-            row = pa.array([k for k, blocks in enumerate(found) for _ in blocks], pa.int64())
-            number = pa.array([n for blocks in found for n in range(len(blocks))], pa.int32())
-            columns = [pa.array([b[name] for blocks in found for b in blocks], kind) for name, kind in kinds.items()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), number, *columns], names=["func_id", "block", *kinds])
-
-    return arrow_map(own, run, "func_id long, block int, start long, size long, count long, ending string, successors array<int>, predecessors array<int>")
+    ship(instructions.sparkSession)
+    own = instructions.select("func_id", "offset", "size", "role", "target").groupBy("func_id")
+    return own.applyInArrow(_function_blocks, "func_id long, block int, start long, size long, count long, ending string, successors array<int>, predecessors array<int>")
 
 
 def strong_components(blocks: list[int], edges: dict[int, list[int]]) -> list[list[int]]:

@@ -132,6 +132,18 @@ def test_basic_blocks_against_brute_force(spark):
     assert set(got) == set(wanted) and graph.partition([]) == []
 
 
+def test_basic_blocks_take_one_function_at_a_time(spark):
+    """Functions of a task are not gathered as rows of a batch, which would hold all their instructions at once."""
+    rows = [(func, at, 1, ("normal", "conditional", "return")[at % 3], at * 7 % 50) for func in (1, None) for at in range(50)]
+    found = graph.basic_blocks(spark.createDataFrame(rows[::-1], "func_id long, offset long, size long, role string, target long"))
+    plan_ = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan_ and "FlatMapGroupsInArrow" in plan_
+    wanted = graph.partition([x[1:] for x in rows[:50]])
+    for func in (1, None):
+        got = found.where(found.func_id.eqNullSafe(func)).orderBy("block").collect()
+        assert [{k: r[k] for k in wanted[0]} for r in got] == wanted
+
+
 def test_traces_and_steps(spark, tmp_path):
     pair_ = Pair(catalog(spark, _functions(8)), catalog(spark, _functions(8, 8, "sub")))
     runs = [plan.Diff(pair_, plan.Settings(rounds=1, trace="step-00[|step-*"), f"{tmp_path}/{x}") for x in "ab"]

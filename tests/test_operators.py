@@ -13,13 +13,13 @@ from conftest import SMALL
 from pairloom.functions import textdiff
 from pairloom.functions.names import glob_matches
 from pairloom.operators import evaluate, graph, port, results, stages
-from pairloom.operators.candidates import candidates
+from pairloom.operators.candidates import candidates, united
 from pairloom.plans import diff as plan
 from pairloom.plans.registry import HEURISTICS, LONG_TEXTS, running
 from pairloom.schema import FUNCTIONS, SIDE_TABLES, check_version, validate
 from pairloom.sources import catalogs as stored
 from pairloom.sources.adapters import pair
-from pairloom.sources.catalogs import Pair
+from pairloom.sources.catalogs import Catalog, Pair
 from pairloom.sources.sqlite import read_sqlite
 
 
@@ -368,3 +368,14 @@ def test_rounds_go_on_until_nothing_is_added(spark, monkeypatch):
     asked.clear()
     Stepping(pair, plan.Settings(rounds=3)).run()
     assert asked == [0, 1, 2]
+
+
+def test_pairs_are_not_made_distinct_twice(spark):
+    """Where ids differ a join gives a pair once, so no pair is shuffled; where they do not, rows are still distinct."""
+    own = pair(spark, SMALL)
+    heuristics = [HEURISTICS[n] for n in (3, 25, 32, 27)]
+    found = united(own, heuristics)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == found.distinct().count() > 0
+    twice = Pair(Catalog(own.main.functions.unionByName(own.main.functions), own.main.tables), own.diff)
+    assert sorted(map(tuple, united(twice, heuristics).collect())) == sorted(map(tuple, found.collect()))

@@ -120,3 +120,24 @@ def test_results_are_texts_and_read_back(spark):
     got = {(r.type, r.line, r.address, r.address2, r.ratio) for r in written.collect()}
     assert got == {("partial", "00000", "100000000", "00000010", "0.1234568"), ("best", "00000", "000000ff", "00000010", "1.0000000")}
     assert {(r.ea1, r.ea2, r.ratio) for r in results.read_results(written).collect()} == {("4294967296", "16", 0.1234568), ("255", "16", 1.0)}
+
+
+def test_bounds_leave_what_the_rules_need(spark):
+    """Categories that ratios do not follow, names of several addresses, pairs that come again: the same as item by item."""
+    for seed in range(6):
+        rng = random.Random(100 + seed)
+        items = []
+        for seq in range(60):
+            a, b = rng.randint(1, 4), rng.randint(1, 4)
+            items.append((rng.choice(state.CATEGORIES), str(a), f"n{a % 3}" if seed % 2 else f"n{a}", str(b), rng.choice([f"m{b}", f"n{a}"]), f"d{seq}", rng.choice([0.5, 0.7, 0.8, 1.0]), 1, 1, a, b, seq))
+        df = spark.createDataFrame(items, SCHEMA)
+        assert sorted(map(tuple, state.cleanup(df).select(*state.MATCH).collect())) == sorted(_cleanup(items))
+        assert sorted(map(tuple, state.final_pass(df).collect())) == sorted(_final(items))
+
+
+def test_what_the_first_leaves_behind_goes_before_the_windows(spark):
+    rows = [("best", "1", "n1", "0", "m0", "d", 1.0, 1, 1, 1, 0, 0)] + [("partial", "1", "n1", str(k), f"m{k}", "d", 0.6, 1, 1, 1, k, k) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for found in (state.cleanup(df), state.final_pass(df)):
+        read = [p for p in found.inputFiles()]
+        assert read and spark.read.parquet(*read).count() == 1 == found.count()

@@ -379,3 +379,26 @@ def test_pairs_are_not_made_distinct_twice(spark):
     assert found.count() == found.distinct().count() > 0
     twice = Pair(Catalog(own.main.functions.unionByName(own.main.functions), own.main.tables), own.diff)
     assert sorted(map(tuple, united(twice, heuristics).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_related_units_link_classes_before_functions_meet(spark):
+    """Pairs of functions are not made distinct; overlapping ranges give a pair once."""
+    units = [(1, "", 3, "", "", "4096", "4128"), (2, "", 3, "", "", "4112", "4144")]
+    links = [(k, 1 + (k > 2), k) for k in range(1, 5)]
+    own = lambda: catalog(spark, _functions(4), compilation_units=units, compilation_unit_functions=links)
+    found = stages.related_units(Pair(own(), own()), spark.createDataFrame([(1, 1), (3, 3)], "id1 long, id2 long"))
+    plan_ = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.index("Generate") < plan_.index("Aggregate")
+    inside = [{1, 2, 3}, {2, 3, 4}]
+    assert sorted((r.id1, r.id2) for r in found.collect()) == sorted({(a, b) for s in inside for a in s for b in s})
+
+
+def test_functions_of_gaps_are_counted_by_places(spark):
+    rng = random.Random(3)
+    functions = [{"name": f"sub_{k}", "address": str(rng.randrange(3000))} for k in range(150)]
+    ends = [(g, str(rng.randrange(3000)), rng.choice([str(rng.randrange(3000)), functions[g]["address"]])) for g in range(60)]
+    few, places = stages._between(catalog(spark, functions), spark.createDataFrame(ends, "gap long, a1 string, b1 string"), 1, 20)
+    at = {r.place: r.id1 for r in places.collect()}
+    assert sorted(at) == list(range(1, 151))
+    wanted = {g: sorted(k + 1 for k, f in enumerate(functions) if a < f["address"] < b) for g, a, b in ends}
+    assert {r.gap: sorted(at[k] for k in range(r.first1, r.last1 + 1)) for r in few.collect()} == {g: x for g, x in wanted.items() if 0 < len(x) <= 20}

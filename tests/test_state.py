@@ -114,6 +114,31 @@ def test_take_against_one_by_one(spark):
     assert [(r.id1, r.id2) for r in state.take(spark.createDataFrame(chain, SCHEMA), None).orderBy("seq").collect()] == [(1, 1), (2, 2)]
 
 
+def test_take_settles_long_chains_in_few_tables(spark, monkeypatch):
+    """A path of names where every decision hangs on the one before; equal candidates count one by one. By rounds, by pieces and by one piece."""
+    rng, rows = random.Random(1), []
+    for seq in range(400):
+        a, b = rng.randrange(20), rng.randrange(20)
+        rows.append(("partial", str(a), rng.choice([f"f{a}", f"sub_{a}"]), str(b), rng.choice([f"f{b}", f"sub_{b}"]), "d", rng.choice([0.4, 0.5, 0.6, 0.7, 0.8]), 1, 1, a, b, seq))
+    rows += [("best", "50", "f50", "50", "f50", "d", 1.0, 1, 1, 50, 50, 1000)] * 3
+    rows += [("partial", str(k), f"sub_c{(k + 1) // 2}", str(k), f"sub_d{k // 2}", "d", 0.9 - k / 1000, 1, 1, k, k, 2000 + k) for k in range(60)]
+    wanted, df = sorted(_taken(rows, [])), spark.createDataFrame(rows, SCHEMA)
+    written, kept = [], state.materialize
+    monkeypatch.setattr(state, "materialize", lambda df, *a: written.append(1) or kept(df, *a))
+    for step, shrinks, most in ((500_000, 0.75, 8), (150, 0.75, 40), (1, 2.0, 300)):
+        monkeypatch.setattr(state, "STEP", step)
+        monkeypatch.setattr(state, "SHRINKS", shrinks)
+        written.clear()
+        if step > 1:
+            assert sorted(map(tuple, state.take(df, None).collect())) == wanted and len(written) < most
+        else:
+            some = [x for x in rows if x[11] < 60 or x[11] == 1000]  # rounds alone
+            assert sorted(map(tuple, state.take(spark.createDataFrame(some, SCHEMA), None).collect())) == sorted(_taken(some, []))
+    monkeypatch.undo()
+    decided = state.decisions(df, None)
+    assert sorted(map(tuple, decided.where("decision = 'accepted'").select(*state.MATCH).collect())) == wanted and decided.count() == len(rows)
+
+
 def test_results_are_texts_and_read_back(spark):
     rows = [("partial", "4294967296", "a", "16", "b", "d", 0.12345678, 3, 4, 1, 1, 0), ("best", "255", "c", "16", "d", "d", 1.0, 3, 4, 2, 2, 1), ("multimatch", "255", "c", "16", "d", "d", 1.0, 3, 4, 2, 2, 2)]
     written = results.result_rows(spark.createDataFrame(rows, SCHEMA))

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from ..durable import materialize
 from ..functions.names import is_portable
 from ..schema import PROVENANCE_TABLES
 from ..sources.catalogs import Catalog
+from .state import sent
 
 #: Matches by address alone; they replace a real name only on special request.
 STRIPPED = "Same binary with symbols stripped"
@@ -39,28 +41,20 @@ def check_proposals(proposals: DataFrame, reference: DataFrame, target: DataFram
     return rows.select("ea1", "name1", "ea2", "name2", F.coalesce(*wrong).alias("problem")).where("problem IS NOT NULL")
 
 
-def decide(proposals: DataFrame, reference: DataFrame, target: DataFrame, origins: DataFrame | None = None, options: Options = Options()) -> DataFrame:
-    """A decision for each proposal (category, ea1, ea2, ratio, description, place): action, hops, confidence and the names before and after.
+def _lead(rows: DataFrame) -> Column:
+    """The first field of place that is a number, by which most proposals of an address are told from its first; else place itself."""
+    kind = rows.schema["place"].dataType
+    if isinstance(kind, StructType) and isinstance(kind[0].dataType, IntegralType):
+        return F.coalesce(F.col(f"place.{kind[0].name}").cast("long"), F.lit(-(1 << 63)))
+    return F.col("place")
 
-    origins: name origins of the reference (address, name, origin_address, origin_name, hops, cumulative_ratio); history
-    counts only while the reference still has the recorded name. Proposals are taken in the order of place.
-    """
-    spark = proposals.sparkSession
-    if origins is None:
-        origins = spark.createDataFrame([], PROVENANCE_TABLES["name_origin"])
-    if "first_labelled_at" not in origins.columns:
-        origins = origins.withColumn("first_labelled_at", F.lit(None).cast("string"))
-    side = lambda df, n: df.select(F.col("address").alias(f"ea{n}"), F.col("name").alias(f"label{n}"), F.col("mangled_function").alias(f"mangled{n}"))
-    rows = proposals.select("category", "ea1", "ea2", "ratio", "description", "place").join(side(reference, 1), "ea1").join(side(target, 2), "ea2")
-    history = origins.select(F.col("address").alias("ea1"), F.col("name").alias("label1"), "origin_address", "origin_name", F.col("hops").alias("before"), "cumulative_ratio", "first_labelled_at")
-    rows = rows.join(history, ["ea1", "label1"], "left")
-    selected = F.col("category").isin(*options.categories)
-    claim = F.row_number().over(Window.partitionBy("ea2", selected).orderBy("place", "ea1"))
-    rows = rows.withColumn("selected", selected).withColumn("claim", claim)
+
+def _decided(rows: DataFrame, options: Options, action: Column | None = None) -> DataFrame:
+    """Proposals with selected, claim and the history of their labels by the rules, or all with the action that is known of them."""
     rows = rows.withColumn("hops", F.coalesce(F.col("before") + 1, F.lit(1).cast("long"))).withColumn("confidence", F.coalesce("cumulative_ratio", F.lit(1.0)) * F.col("ratio"))
     real = is_portable(F.col("label2"))
     may = F.lit(options.overwrite) & ((F.col("description") != STRIPPED) | F.lit(options.overwrite_stripped))
-    action = (
+    rules = (
         F.when(~F.col("selected"), "not_selected")
         .when(F.col("claim") > 1, "skipped_conflict")
         .when(~is_portable(F.col("label1")), "skipped_not_portable")
@@ -70,11 +64,41 @@ def decide(proposals: DataFrame, reference: DataFrame, target: DataFrame, origin
         .when(real & ~may, "skipped_existing")
         .otherwise("applied")
     )
+    action = rules if action is None else action
     written = F.when(is_portable(F.col("mangled1")), F.col("mangled1")).otherwise(F.col("label1"))
     counted = ~action.isin("not_selected", "skipped_conflict", "skipped_not_portable", "confirmed")
     when = lambda c: F.when(counted, c)
-    rows = rows.select("place", "category", "ea1", "ea2", "ratio", "description", action.alias("action"), F.col("label1").alias("reference_name"), F.col("mangled1").alias("reference_mangled"), F.col("label2").alias("name_before"), F.col("mangled2").alias("mangled_before"), when(F.col("hops")).alias("hops"), when(F.col("confidence")).alias("confidence"), when(F.coalesce("origin_address", "ea1")).alias("origin_address"), when(F.coalesce("origin_name", "label1")).alias("origin_name"), "first_labelled_at", F.when(action == "applied", written).alias("written_mangled"))
-    rows = materialize(rows)
+    return rows.select("place", "category", "ea1", "ea2", "ratio", "description", action.alias("action"), F.col("label1").alias("reference_name"), F.col("mangled1").alias("reference_mangled"), F.col("label2").alias("name_before"), F.col("mangled2").alias("mangled_before"), when(F.col("hops")).alias("hops"), when(F.col("confidence")).alias("confidence"), when(F.coalesce("origin_address", "ea1")).alias("origin_address"), when(F.coalesce("origin_name", "label1")).alias("origin_name"), "first_labelled_at", F.when(action == "applied", written).alias("written_mangled"))
+
+
+def decide(proposals: DataFrame, reference: DataFrame, target: DataFrame, origins: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+    """A decision for each proposal (category, ea1, ea2, ratio, description, place): action, hops, confidence and the names before and after.
+
+    origins: name origins of the reference (address, name, origin_address, origin_name, hops, cumulative_ratio); history
+    counts only while the reference still has the recorded name. Proposals are taken in the order of place.
+
+    Only the first proposal of an address of the target can be applied: what may be that goes over the shuffle and is
+    written, the others are decided where they are.
+    """
+    spark = proposals.sparkSession
+    if origins is None:
+        origins = spark.createDataFrame([], PROVENANCE_TABLES["name_origin"])
+    if "first_labelled_at" not in origins.columns:
+        origins = origins.withColumn("first_labelled_at", F.lit(None).cast("string"))
+    side = lambda df, n: sent(df.select(F.col("address").alias(f"ea{n}"), F.col("name").alias(f"label{n}"), F.col("mangled_function").alias(f"mangled{n}")))
+    known, own = side(reference, 1), side(target, 2)
+    target = own.select(F.col("ea2").alias("address"), F.col("label2").alias("name"), F.col("mangled2").alias("mangled_function"))
+    rows = proposals.select("category", "ea1", "ea2", "ratio", "description", "place").join(known, "ea1").join(own, "ea2")
+    history = sent(origins.select(F.col("address").alias("ea1"), F.col("name").alias("label1"), "origin_address", "origin_name", F.col("hops").alias("before"), "cumulative_ratio", "first_labelled_at"))
+    rows = rows.withColumn("selected", F.col("category").isin(*options.categories)).withColumn("lead", _lead(rows))
+    least = sent(rows.where(F.coalesce("selected", F.lit(True))).groupBy(F.col("ea2").alias("of"), F.col("selected").alias("kind")).agg(F.min("lead").alias("least")))
+    first = F.coalesce("selected", F.lit(True)) & F.col("lead").eqNullSafe(F.col("least"))
+    rows = rows.join(least, (F.col("ea2") == F.col("of")) & F.col("selected").eqNullSafe(F.col("kind")), "left").withColumn("first", F.coalesce(first, F.lit(False))).drop("of", "kind", "least", "lead")
+    claim = F.row_number().over(Window.partitionBy("ea2", "selected").orderBy("place", "ea1"))
+    later = rows.where(~F.col("first")).drop("first").withColumn("claim", F.lit(2)).join(history, ["ea1", "label1"], "left")
+    rows = materialize(rows.where("first").drop("first")).join(history, ["ea1", "label1"], "left").withColumn("claim", claim)
+    later = _decided(later, options, F.when(~F.col("selected"), "not_selected").otherwise("skipped_conflict"))
+    rows = materialize(_decided(rows, options))
     while True:
         after = labelled(target, rows)
         twice = lambda c: after.where(is_portable(F.col(c))).groupBy(c).count().where("count > 1").select(F.col(c).alias(f"twice_{c}"))  # noqa: B023, E731
@@ -84,7 +108,7 @@ def decide(proposals: DataFrame, reference: DataFrame, target: DataFrame, origin
         marked = materialize(marked.withColumn("changed", back).withColumn("action", F.when(F.col("changed"), "skipped_duplicate_name").otherwise(F.col("action"))).withColumn("written_mangled", F.when(~F.col("changed"), F.col("written_mangled"))).drop("twice_name", "twice_mangled_function"))
         rows = marked.drop("changed")
         if marked.where("changed").isEmpty():
-            return rows
+            return rows.unionByName(later)
 
 
 def labelled(target: DataFrame, decisions: DataFrame) -> DataFrame:

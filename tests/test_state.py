@@ -2,7 +2,9 @@
 
 import random
 
-from pairloom.operators import results, state
+from pyspark.sql import functions as F
+
+from pairloom.operators import port, results, state
 
 SCHEMA = "category string, ea1 string, name1 string, ea2 string, name2 string, description string, ratio double, nodes1 long, nodes2 long, id1 long, id2 long, seq long"
 
@@ -166,3 +168,17 @@ def test_what_the_first_leaves_behind_goes_before_the_windows(spark):
     for found in (state.cleanup(df), state.final_pass(df)):
         read = [p for p in found.inputFiles()]
         assert read and spark.read.parquet(*read).count() == 1 == found.count()
+
+
+def test_only_what_may_be_applied_is_written(spark, monkeypatch):
+    """Of 60 proposals of an address one can be applied; equal places count one by one, and joins are dealt over all tasks."""
+    tables, kept = [], port.materialize
+    monkeypatch.setattr(port, "materialize", lambda df, *a: tables.append(kept(df, *a)) or tables[-1])
+    side = lambda letter: spark.createDataFrame([(str(k), f"{letter}{k}", f"{letter}{k}") for k in range(62)], "address string, name string, mangled_function string")
+    target = side("sub_").withColumn("mangled_function", F.col("name"))
+    rows = [("partial", str(k), "7", 0.9, "d", (k, k)) for k in range(60)] + [("partial", "61", "8", 0.8, "d", (3, 3)), ("partial", "60", "8", 0.8, "d", (3, 3)), ("unreliable", "5", "8", 0.4, "d", (0, 0))]
+    proposals = spark.createDataFrame(rows, "category string, ea1 string, ea2 string, ratio double, description string, place struct<seq: long, id: long>")
+    got = port.decide(proposals, side("f"), target)
+    assert sorted((r.ea1, r.ea2) for r in got.where("action = 'applied'").collect()) == [("0", "7"), ("60", "8")]
+    assert {r.action: r.n for r in port.action_counts(got).collect()} == {"applied": 2, "skipped_conflict": 60, "not_selected": 1}
+    assert max(t.count() for t in tables) == 3

@@ -8,25 +8,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_portable
+from .results import apart, by, numbered
+from .state import sent
 
 
-def same_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """only_a, only_b: rows that one multiset has more often than the other; both 0 if the results agree."""
-    x, y = a.select(*columns), b.select(*columns)
-    counts = [l.exceptAll(r).agg(F.count("*").alias(n)) for l, r, n in ((x, y, "only_a"), (y, x, "only_b"))]
-    return counts[0].join(counts[1], F.lit(True))
+def _valued(sides: list[DataFrame], *columns: str) -> DataFrame:
+    """The distinct values of columns in both results as of_COLUMN, with their number in their order, from 0; sent where they are few."""
+    values = reduce(DataFrame.union, [s.select(*columns).distinct() for s in sides]).distinct()
+    placed = numbered(values.withColumn("all", F.lit(0)), "all", *map(F.asc, columns))
+    return sent(placed.select(*[F.col(c).alias(f"of_{c}") for c in columns], F.col("line_number").alias("number")))
+
+
+def _packed(*numbers: str) -> list[Column]:
+    """Numbers two to a long."""
+    pairs = [numbers[i : i + 2] for i in range(0, len(numbers), 2)]
+    return [(F.shiftleft(p[0], 32).bitwiseOR(F.col(p[1])) if len(p) == 2 else F.col(p[0])).alias(f"p{i}") for i, p in enumerate(pairs)]
+
+
+def same_rows(a: DataFrame, b: DataFrame, columns: list[str], numbers: bool = False) -> DataFrame:
+    """only_a, only_b: rows that one multiset has more often than the other; both 0 if the results agree.
+
+    Both go over the shuffle once, where rows count for a and against it. numbers: values recur, so their numbers go there.
+    """
+    sides, keys = [s.select(*columns) for s in (a, b)], list(columns)
+    if numbers:
+        for c in columns:
+            known = _valued(sides, c).withColumnRenamed("number", f"number_{c}")
+            sides = [by(s, known, c) for s in sides]
+        packed = _packed(*[f"number_{c}" for c in columns])
+        sides, keys = [s.select(*packed) for s in sides], [f"p{i}" for i in range(len(packed))]
+    more = "more"
+    while more in keys:
+        more += "_"
+    rows = sides[0].withColumn(more, F.lit(1)).union(sides[1].withColumn(more, F.lit(-1)))
+    counts = (apart(rows, *keys) if numbers else rows).groupBy(*keys).agg(F.sum(more).alias(more)).select(F.col(more).alias("n"))
+    count = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0).cast("long"))), F.lit(0).cast("long"))
+    return counts.agg(count(F.col("n")).alias("only_a"), count(-F.col("n")).alias("only_b"))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each type and description: pairs of addresses in both, in both with the same ratio, in a alone and in b alone."""
-    key = ("address", "address2")
-    side = lambda df, n: df.groupBy(*key).agg(F.min(F.struct("type", "description", "ratio")).alias(n))
-    both = side(a, "x").join(side(b, "y"), list(key), "full_outer").withColumn("k", F.coalesce("x", "y"))
-    return both.groupBy(F.col("k.type").alias("type"), F.col("k.description").alias("description")).agg(
-        F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("both"),
-        F.count_if(F.col("x.ratio") == F.col("y.ratio")).alias("same_ratio"),
-        F.count_if(F.col("y").isNull()).alias("only_a"),
-        F.count_if(F.col("x").isNull()).alias("only_b"),
+    """For each type and description: pairs of addresses in both, in both with the same ratio, in a alone and in b alone.
+
+    As in same_rows, numbers go over the shuffle, once; a pair without both addresses is like no other.
+    """
+    key, what = ("address", "address2"), ("type", "description", "ratio")
+    sides = [s.select(*key, *what) for s in (a, b)]
+    known = _valued(sides, *what)
+    for c in key:
+        values = _valued(sides, c).withColumnRenamed("number", f"number_{c}")
+        sides = [by(s, values, c) for s in sides]
+    sides = [by(s, known, *what) for s in sides]
+    lone = F.when(F.col("address").isNull() | F.col("address2").isNull(), 1).otherwise(0)
+    # the number's last bits: whether it is b's, and whether the pair is like no other
+    rows = reduce(DataFrame.union, [s.select(*_packed("number_address", "number_address2"), (F.col("number") * 4 + 2 * k + lone).alias("n")) for k, s in enumerate(sides)])
+    of = F.expr("shiftright(n, 1) & 1")
+    least = [F.min(F.when(of == k, F.shiftright("n", 2))).alias(c) for k, c in enumerate("xy")]
+    both = apart(rows, "p0").groupBy("p0", F.expr("IF(n & 1 = 1, n & 2, -1)").alias("lone")).agg(*least)
+    counts = both.groupBy("x", "y").agg(F.count("*").alias("n"))  # as many as types, descriptions and ratios meet
+    for c in "xy":
+        own = known.select(F.col("number").alias(c), F.struct(*[F.col(f"of_{w}").alias(w) for w in what]).alias(f"{c}_of"))
+        counts = counts.join(own, c, "left")
+    counts = counts.withColumn("k", F.coalesce("x_of", "y_of"))
+    total = lambda holds: F.sum(F.when(holds, F.col("n")).otherwise(0))
+    return counts.groupBy(F.col("k.type").alias("type"), F.col("k.description").alias("description")).agg(
+        total(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("both"),
+        total(F.col("x_of.ratio") == F.col("y_of.ratio")).alias("same_ratio"),
+        total(F.col("y").isNull()).alias("only_a"),
+        total(F.col("x").isNull()).alias("only_b"),
     )
 
 

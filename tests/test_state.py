@@ -1,10 +1,11 @@
 """Cleanup and the final pass agree with item-by-item readings of their rules."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from pairloom.operators import port, results, state
+from pairloom.operators import evaluate, port, results, state
 
 SCHEMA = "category string, ea1 string, name1 string, ea2 string, name2 string, description string, ratio double, nodes1 long, nodes2 long, id1 long, id2 long, seq long"
 
@@ -206,3 +207,31 @@ def test_results_go_over_shuffles_as_numbers(spark, monkeypatch):
         assert sorted(map(tuple, results.result_rows(spark.createDataFrame(rows, SCHEMA)).collect())) == _written(rows)
         large = [t for t in tables if t.count() == len(rows)]
         assert large and not any(kind == "string" for t in large for _, kind in t.dtypes)
+
+
+def test_results_are_compared_by_numbers(spark, monkeypatch):
+    """Rows that come again, nulls: the same as item by item; no texts are dealt by the keys of both results."""
+    dealt, kept = [], evaluate.apart
+    monkeypatch.setattr(evaluate, "apart", lambda rows, *keys: dealt.append(rows) or kept(rows, *keys))
+    rng = random.Random(5)
+    sides = [[(rng.choice("ab"), rng.choice("de"), rng.choice(["1", "2", None]), rng.choice(["3", "4", None]), rng.choice(["0.5", "0.7"])) for _ in range(60)] for _ in range(2)]
+    a, b = (spark.createDataFrame(s, "type string, description string, address string, address2 string, ratio string") for s in sides)
+    x, y = (Counter(r[2:] for r in s) for s in sides)
+    for numbers in (True, False):
+        assert tuple(evaluate.same_rows(a, b, ["address", "address2", "ratio"], numbers).first()) == ((x - y).total(), (y - x).total())
+    assert tuple(evaluate.same_rows(a, a.limit(0), ["address"], True).first()) == (60, 0) and tuple(evaluate.same_rows(a.limit(0), a.limit(0), ["address"]).first()) == (0, 0)
+    least = [{}, {}]
+    for s, found in zip(sides, least):
+        for t, d, *key, ratio in s:
+            found[tuple(key)] = min(found.get(tuple(key), ("z",)), (t, d, ratio))
+    lone = lambda k: None in k
+    wanted = Counter()
+    for key in {*least[0], *least[1]}:
+        p, q = (s.get(key) for s in least)
+        for p_, q_ in [(p, None), (None, q)] if lone(key) else [(p, q)]:
+            if p_ or q_:
+                k = (p_ or q_)[:2]
+                wanted.update({(*k, "both"): bool(p_ and q_), (*k, "same_ratio"): bool(p_ and q_ and p_[2] == q_[2]), (*k, "only_a"): not q_, (*k, "only_b"): not p_})
+    got = evaluate.agreement(a, b).collect()
+    assert {(r.type, r.description, c): r[c] for r in got for c in ("both", "same_ratio", "only_a", "only_b")} == wanted
+    assert len(dealt) == 3 and not any(kind == "string" for rows in dealt for _, kind in rows.dtypes)

@@ -269,6 +269,34 @@ def test_callee_pairs_that_are_matched_are_not_proposed(spark):
     assert stages.callee_matches(pair, both, "assembly").count() == 0
 
 
+def test_callees_of_short_texts_need_no_matcher(spark, monkeypatch):
+    """Against the matcher on every pair of texts; pairs that differ in one of a few lines never reach it."""
+    rng, compared = random.Random(5), []
+    names = [f"callee_{k}" for k in range(12)] + ["nullsub_1", "twice", "twice"]
+
+    def side(lines):
+        text = lambda: "\n".join(rng.choice(lines).replace("?", rng.choice(names)) for _ in range(rng.randint(1, 5))) + rng.choice(["", "\n"])
+        return [{"name": n, "nodes": rng.choice([2, 4, 9, 40]), "assembly": rng.choice([None, "", text(), text(), text()])} for n in names]
+
+    def wanted(one, two, ids, matched):
+        found = {p for a, b in ids for x, y in [(one[a - 1]["assembly"], two[b - 1]["assembly"])] if None not in (x, y) and x != y for p in textdiff.replaced_names(x, y)}
+        nodes = [{f["name"]: f["nodes"] for f in s if not f["name"].startswith(("nullsub", "twice"))} for s in (one, two)]
+        sized = lambda p: p[0] in nodes[0] and p[1] in nodes[1] and (low := min(n[x] for n, x in zip(nodes, p))) >= 3 and low * 4 >= max(n[x] for n, x in zip(nodes, p))
+        return sorted(p for p in found - matched if sized(p))
+
+    ids = list(itertools.product(range(1, 16), repeat=2))
+    for lines in (["call ?", "push", "ret", "call ?, ?"], ["call ?"]):
+        one, two = side(lines), side(lines)
+        matches = spark.createDataFrame([(a, b, names[a - 1], names[b - 1]) for a, b in ids if (a + b) % 3], "id1 long, id2 long, name1 string, name2 string")
+        matched = {(r.name1, r.name2) for r in matches.collect()}
+        rows = stages.callee_matches(Pair(catalog(spark, one), catalog(spark, two)), matches, "assembly").collect()
+        assert sorted((r.name1, r.name2) for r in rows) == wanted(one, two, [(r.id1, r.id2) for r in matches.collect()], matched)
+    short = lambda n: [{"name": f"callee_{n}{k}", "nodes": 4, "assembly": f"push\ncall callee_{n}{k}\nret"} for k in range(4)]
+    monkeypatch.setattr(stages, "_by_matcher", lambda *a: compared.append(a))
+    every = spark.createDataFrame([(a, b, "", "") for a in range(1, 5) for b in range(1, 5)], "id1 long, id2 long, name1 string, name2 string")
+    assert stages.callee_matches(Pair(catalog(spark, short("a")), catalog(spark, short("b"))), every, "assembly").count() == 16 and not compared
+
+
 def test_arriving_catalogs(spark, tmp_path):
     from pairloom.streaming.arrivals import follow
 

@@ -61,6 +61,29 @@ def test_interesting():
     assert textdiff.risky_change("a;\nb;", "a;\n  if ( n > 4 )\nb;") and not textdiff.risky_change("a;\nb;", "a;\n  c;\nb;")
 
 
+def test_interesting_pairs_against_the_matcher(spark, monkeypatch):
+    """Every pair as the unified diff of its texts says; pairs without a common line are decided without a comparison."""
+    rng, given = random.Random(11), []
+    lines = ["jl x", "JB x", "jge y", "jae y", "bls z", "bl z", "b", "bs", "nop", "nop:", "jl x:", "", "mov", " strcpy(x);", "if ( n > 4 )", " if ( n > 0 )", " if ( n > 4 )", "xmem", "memx", "a;"]
+    text = lambda own: rng.choice([None, "", *["\n".join(rng.choice(own) for _ in range(rng.randint(1, 6)))] * 6])
+    one, two = ([{"name": f"f{k}", "assembly": text(lines), "pseudocode": text(lines)} for k in range(45)] for _ in (1, 2))
+    cases = [(a, b) for a in one for b in two]
+    matches = spark.createDataFrame([(a, b, r) for a in range(1, 46) for b in range(1, 46) for r in (0.5, 0.6)] + [(46, 1, 1.0)], "id1 long, id2 long, ratio double")
+    got = {(r.id1, r.id2): r.interesting for r in stages.interesting_changes(Pair(catalog(spark, one), catalog(spark, two)), matches).collect()}
+    wanted = [textdiff.swapped_jump(a["assembly"], b["assembly"]) or textdiff.risky_change(a["pseudocode"], b["pseudocode"]) for a, b in cases]
+    assert len(got) == len(cases) and [got[k] for k in sorted(got)] == wanted and 100 < sum(wanted) < len(wanted) - 100
+    for a, b in cases:
+        marks = lambda t, of: ([hash(x) for x in t.split("\n")], [of(x) for x in t.split("\n")])
+        if None not in (a["assembly"], b["assembly"]):
+            assert textdiff.swapped_marks(*[marks(x["assembly"], textdiff.jump_marks) for x in (a, b)]) == textdiff.swapped_jump(a["assembly"], b["assembly"])
+        if None not in (a["pseudocode"], b["pseudocode"]):
+            assert textdiff.risky_marks(*[marks(x["pseudocode"], textdiff.risk_marks) for x in (a, b)]) == textdiff.risky_change(a["pseudocode"], b["pseudocode"])
+    apart = [[{"name": f"f{k}", "assembly": f"jl x{k}\n{s} jb {k}\nbs{k} {s}", "pseudocode": f"{s} {k}"} for k in range(6)] for s in "mn"]
+    monkeypatch.setattr(stages, "arrow_map", lambda df, run, schema, f=stages.arrow_map: (given.append(df.count()) if run is stages._interesting else None, f(df, run, schema))[1])
+    rows = stages.interesting_changes(Pair(*[catalog(spark, s) for s in apart]), spark.createDataFrame([(a, b, 0.5) for a in range(1, 7) for b in range(1, 7)], "id1 long, id2 long, ratio double")).collect()
+    assert given == [0] and len(rows) == 36
+
+
 def test_graph_features_against_brute_force():
     rng = random.Random(2)
     for _ in range(60):

@@ -312,8 +312,9 @@ def test_callees_of_short_texts_need_no_matcher(spark, monkeypatch):
         one, two = side(lines), side(lines)
         matches = spark.createDataFrame([(a, b, names[a - 1], names[b - 1]) for a, b in ids if (a + b) % 3], "id1 long, id2 long, name1 string, name2 string")
         matched = {(r.name1, r.name2) for r in matches.collect()}
-        rows = stages.callee_matches(Pair(catalog(spark, one), catalog(spark, two)), matches, "assembly").collect()
-        assert sorted((r.name1, r.name2) for r in rows) == wanted(one, two, [(r.id1, r.id2) for r in matches.collect()], matched)
+        for few in (True, False):
+            rows = stages.callee_matches(Pair(catalog(spark, one), catalog(spark, two)), matches, "assembly", few).collect()
+            assert sorted((r.name1, r.name2) for r in rows) == wanted(one, two, [(r.id1, r.id2) for r in matches.collect()], matched)
     short = lambda n: [{"name": f"callee_{n}{k}", "nodes": 4, "assembly": f"push\ncall callee_{n}{k}\nret"} for k in range(4)]
     monkeypatch.setattr(stages, "_by_matcher", lambda *a: compared.append(a))
     every = spark.createDataFrame([(a, b, "", "") for a in range(1, 5) for b in range(1, 5)], "id1 long, id2 long, name1 string, name2 string")
